@@ -26,7 +26,7 @@ BAND_MISS = 1e-7
 #: Posterior probability of reaching the threshold under which a pair is dropped.
 POSTERIOR_MISS = 1e-7
 #: Most members of one block of a bucket in the last comparison.
-BLOCK = 1024
+BLOCK = 512
 
 
 def bands_for(threshold: float, rows: int = ROWS_PER_BAND, miss: float = BAND_MISS) -> int:
@@ -178,34 +178,45 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100,
     placed = lookup_join(members.select("bucket", "n", "id"), comps.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
     open_ = pin(placed.groupBy("bucket").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 <> c1").select("bucket"))
     left = lookup_join(placed, open_, "bucket", "left_semi").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
-    left = lookup_join(left, sigs, "id", "inner").withColumn("blk", F.expr("cast(pmod(xxhash64(id), blocks) as int)"))
-    left = left.select("bucket", "id", "component", "sig", "blk", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    left = lookup_join(left, reps, "id", "inner", limit=0).join(sets, "id").withColumn("blk", F.expr("cast(pmod(xxhash64(id), blocks) as int)"))
+    left = left.select("bucket", "id", "component", "sig", "bands", "shset", "blk", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     left = left.withColumn("lo", F.least("blk", "other")).withColumn("hi", F.greatest("blk", "other")).drop("other")
-    n_last, least = floor[-1]
-
     def cross(pdf: pd.DataFrame) -> pd.DataFrame:
-        a_list, b_list = [], []
+        """Links between components of one block pair: signature batches first, then the full sets."""
         ids, comp, blk = pdf["id"].to_numpy(), pdf["component"].to_numpy(), pdf["blk"].to_numpy()
+        found = []
         if (comp != comp[0]).any():
             sig = np.frombuffer(b"".join(pdf["sig"]), np.uint8).reshape(len(pdf), -1)
+            keys = np.array(pdf["bands"].tolist(), np.int64)
+            own = int(np.argmax((keys == pdf["bucket"].iloc[0]).all(axis=0)))
+            sets = [np.frombuffer(x, np.uint64) for x in pdf["shset"]]
+            sizes = np.array([len(x) for x in sets])
             within = pdf["lo"].iloc[0] == pdf["hi"].iloc[0]
             values, counts = np.unique(comp, return_counts=True)
             largest = values[counts.argmax()]
             for i in np.flatnonzero(comp != largest):  # a pair has at least one end outside the largest component
                 other = (comp != comp[i]) & ((comp == largest) | (ids > ids[i]))
+                other &= (den * np.minimum(sizes, sizes[i]) >= num * np.maximum(sizes, sizes[i]))
                 if not within:
                     other &= blk != blk[i]
                 j = np.flatnonzero(other)
                 for n, need in floor:
+                    j = j[(sig[j, :n] == sig[i, :n]).sum(axis=1) >= need]
                     if not len(j):
                         break
-                    j = j[(sig[j, :n] == sig[i, :n]).sum(axis=1) >= need]
-                a_list.append(np.minimum(ids[j], ids[i]))
-                b_list.append(np.maximum(ids[j], ids[i]))
-        a, b = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (a_list, b_list))
-        return pd.DataFrame({"a": a, "b": b})
-
-    more = _verify(left.groupBy("bucket", "lo", "hi").applyInPandas(cross, "a long, b long").distinct(), sigs, sets, floor, num, den)
+                if len(j):
+                    j = j[~(keys[j, :own] == keys[i, :own]).any(axis=1)]  # an earlier bucket has the others
+                if not len(j):
+                    continue
+                flat, mine = np.concatenate([sets[x] for x in j]), sets[i]
+                hit = mine[np.minimum(np.searchsorted(mine, flat), len(mine) - 1)] == flat
+                inter = np.add.reduceat(hit, np.concatenate(([0], np.cumsum(sizes[j])[:-1])), dtype=np.int64)
+                j = j[den * inter >= num * (sizes[j] + sizes[i] - inter)]
+                found.append(np.stack([np.minimum(ids[j], ids[i]), np.maximum(ids[j], ids[i])], axis=1))
+        out = np.concatenate(found) if found else np.empty((0, 2), np.int64)
+        return pd.DataFrame({"a": out[:, 0], "b": out[:, 1]})
+
+    more = pin(left.groupBy("bucket", "lo", "hi").applyInPandas(cross, "a long, b long").distinct())
     as_a = comps.select(F.col("node").alias("a"), F.col("component").alias("ca"))
     as_b = comps.select(F.col("node").alias("b"), F.col("component").alias("cb"))
     bridges = lookup_join(lookup_join(more, as_a, "a"), as_b, "b").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
