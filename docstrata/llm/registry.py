@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import near_dup
+from . import near_dup, substring_dedup
 
 QUERIES = {
     "op5_minhash_near_dedup": near_dup.op5,
+    "op6_substring_dedup": substring_dedup.op6,
 }
 
 ORACLE_SQL: dict[str, str] = {}
