@@ -25,8 +25,8 @@ ROWS_PER_BAND = 5
 BAND_MISS = 1e-7
 #: Posterior probability of reaching the threshold under which a pair is dropped.
 POSTERIOR_MISS = 1e-7
-#: Most members of one block of a bucket in the last comparison.
-BLOCK = 512
+#: Most members, and bytes of their full sets, of one block of a bucket in the last comparison (on average).
+BLOCK, BLOCK_BYTES = 512, 4_000_000
 
 
 def bands_for(threshold: float, rows: int = ROWS_PER_BAND, miss: float = BAND_MISS) -> int:
@@ -157,11 +157,11 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100,
     rows = pin(texts.mapInArrow(_signatures(n_hashes, bands, k), "doc_id long, n_shingles long, digest binary, sig binary, bands array<long>"))
     classes = pin(rows.where("digest is not null and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("set_id")))
     reps = lookup_join(rows, classes.select(F.col("set_id").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id", "digest"])
-    reps = pin(reps.join(classes.select("digest", F.col("set_id").alias("doc_id")), ["digest", "doc_id"], "left_semi").select(F.col("doc_id").alias("id"), "sig", "bands"))
+    reps = pin(reps.join(classes.select("digest", F.col("set_id").alias("doc_id")), ["digest", "doc_id"], "left_semi").select(F.col("doc_id").alias("id"), "n_shingles", "sig", "bands"))
     release(spark)
 
-    entries = reps.select("id", F.explode("bands").alias("bucket"))
-    shared = pin(entries.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first"), F.max("id").alias("last")).where("n > 1"))
+    entries = reps.select("id", "n_shingles", F.explode("bands").alias("bucket"))
+    shared = pin(entries.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), (8 * F.sum("n_shingles")).alias("bytes"), F.min("id").alias("first"), F.max("id").alias("last")).where("n > 1"))
     members = pin(lookup_join(entries, shared, "bucket", "inner"))
     release(spark)
     wanted = pin(members.select("id").distinct())
@@ -175,10 +175,10 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100,
     comps = pin(connected_components(links))
 
     # Members of buckets that still hold several components: every cross-component pair is looked at, in blocks.
-    placed = lookup_join(members.select("bucket", "n", "id"), comps.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    placed = lookup_join(members.select("bucket", "n", "bytes", "id"), comps.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
     open_ = pin(placed.groupBy("bucket").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 <> c1").select("bucket"))
-    left = lookup_join(placed, open_, "bucket", "left_semi").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
-    left = lookup_join(left, reps, "id", "inner", limit=0).join(sets, "id").withColumn("blk", F.expr("cast(pmod(xxhash64(id), blocks) as int)"))
+    left = lookup_join(placed, open_, "bucket", "left_semi").withColumn("blocks", F.ceil(F.greatest(F.col("n") / BLOCK, F.col("bytes") / BLOCK_BYTES)).cast("int"))
+    left = lookup_join(left, reps.drop("n_shingles"), "id", "inner", limit=0).join(sets, "id").withColumn("blk", F.expr("cast(pmod(xxhash64(id), blocks) as int)"))
     left = left.select("bucket", "id", "component", "sig", "bands", "shset", "blk", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     left = left.withColumn("lo", F.least("blk", "other")).withColumn("hi", F.greatest("blk", "other")).drop("other")
     def cross(pdf: pd.DataFrame) -> pd.DataFrame:

@@ -15,13 +15,14 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHash, arrow_batches, lookup_join, mix, pin, release, word_hashes
+from .common import BROADCAST_ROWS, WordHash, arrow_batches, lookup_join, mix, pin, release, word_hashes
 
 #: Words hashed together in one batch of a task, and words a bucket receives.
-BATCH_WORDS, BUCKET_WORDS = 500_000, 1_000_000
+BATCH_WORDS, BUCKET_WORDS = 400_000, 1_000_000
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -48,89 +49,56 @@ def _unplanes(b: bytes, n: int, kind) -> np.ndarray:
 
 
 class _Batch:
-    """Documents hashed together: ids, keys, where each begins, and entries (hash, place)."""
+    """Documents hashed together: ids, keys, word hashes, and spans known before."""
 
     def __init__(self) -> None:
-        self.ids, self.keys, self.parts, self.lengths, self.spans, self.words = [], [], [], [], [], 0
+        self.ids, self.keys, self.parts, self.spans, self.words = [], [], [], [], 0
 
     def add(self, doc: int, key: int, w: np.ndarray, spans=None) -> None:
-        self.ids.append(doc), self.keys.append(key), self.parts.append(w), self.lengths.append(len(w)), self.spans.append(spans)
+        self.ids.append(doc), self.keys.append(key), self.parts.append(w), self.spans.append(spans)
         self.words += len(w)
 
+    def close(self) -> None:
+        lengths = [len(w) for w in self.parts]
+        self.starts = np.concatenate(([0], np.cumsum(lengths))).astype(np.int64)
+        self.doc_of = np.repeat(np.arange(len(lengths)), lengths)
+        self.long_ids = np.array(self.ids, np.int64)
+        self.head = np.concatenate((self.long_ids, np.array(self.keys, np.int64), self.starts))
+        self.name = xxhash.xxh3_64_intdigest(self.head.tobytes()) - 2**63
 
-def _runs(sorted_hash: np.ndarray) -> np.ndarray:
-    return np.flatnonzero(np.concatenate(([True], sorted_hash[1:] != sorted_hash[:-1])))
 
+def _runs(sorted_values: np.ndarray) -> np.ndarray:
+    """Where each run of equal values begins."""
+    return np.flatnonzero(np.concatenate(([True], sorted_values[1:] != sorted_values[:-1]))) if len(sorted_values) else np.empty(0, np.int64)
 
-def _pack(first: np.ndarray, last: np.ndarray) -> np.ndarray:
-    return first.astype(np.int64) << 32 | last.astype(np.int64)
 
+def _repeat(x: np.ndarray, run: np.ndarray, n: int) -> np.ndarray:
+    return np.repeat(x, np.diff(np.append(run, n)))
 
-_WIRE = "bucket int, spans array<long>, blob binary"
 
+#: batch: name; kind: 0 the batch's head, 1 places decided in the batch, 2 entries to decide.
+_WIRE = "bucket int, batch long, kind int, blob binary"
 
-def _wire(rows: list[tuple]) -> pa.RecordBatch:
-    """Rows (bucket, spans after their document and key, blob of entries)."""
-    b, s, x = zip(*rows, strict=True) if rows else ((),) * 3
-    return pa.record_batch([pa.array(b, pa.int32()), pa.array(s, pa.list_(pa.int64())), pa.array(x, pa.binary())], ["bucket", "spans", "blob"])
 
-
-def _local_spans(rows: list, batch: _Batch, starts: np.ndarray, doc_of: np.ndarray, places: np.ndarray, buckets: int) -> None:
-    """Rows that carry places already decided in the batch, as runs, to any bucket."""
-    places = np.unique(places)
-    if not len(places):
-        return
-    d = doc_of[places]
-    cut = np.flatnonzero(np.concatenate(([True], (places[1:] != places[:-1] + 1) | (d[1:] != d[:-1]))))
-    ends = np.concatenate((cut[1:], [len(places)])) - 1
-    packed = _pack(places[cut] - starts[d[cut]], places[ends] - starts[d[cut]])
-    who = d[cut]
-    split = np.flatnonzero(np.concatenate(([True], who[1:] != who[:-1])))
-    for a, b in zip(split, [*split[1:], len(who)], strict=True):
-        rows.append((batch.ids[who[a]] % buckets, np.concatenate(([batch.ids[who[a]], batch.keys[who[a]]], packed[a:b])), None))
-
-
-def _send(rows: list, batch: _Batch, starts: np.ndarray, h: np.ndarray, places: np.ndarray, buckets: int, kind) -> None:
-    """Rows that carry entries to the bucket of their hash."""
+def _wire(batch: _Batch, decided: np.ndarray, h: np.ndarray, places: np.ndarray, extra: np.ndarray | None, buckets: int, kind) -> pa.RecordBatch:
+    home = batch.name % buckets
+    rows = [(home, 0, batch.head.tobytes()), (home, 1, decided.astype(np.uint32).tobytes())]
     bucket = ((h >> np.uint64(40)) % np.uint64(buckets)).astype(np.int32)
-    order = np.argsort(bucket, kind="stable")
-    bucket, h, places = bucket[order], h[order], places[order].astype(np.uint32)
-    head = np.concatenate((np.array(batch.ids, np.int64), np.array(batch.keys, np.int64), starts[:-1].astype(np.int64)))
-    cut = _runs(bucket) if len(bucket) else []
-    for a, b in zip(cut, [*cut[1:], len(bucket)], strict=True):
-        p = np.sort(places[a:b])
-        x = h[a:b][np.argsort(places[a:b], kind="stable")]
-        used = np.unique(np.searchsorted(starts, p, side="right") - 1)
-        lead = head.reshape(3, -1)[:, used]
-        blob = np.array([len(used), b - a], np.int64).tobytes() + _planes(np.ascontiguousarray(lead).ravel().view(np.uint64)) + _planes(p) + x.astype(kind).tobytes()
-        rows.append((int(bucket[a]), None, blob))
-
-
-def _open(blobs, kind) -> tuple[np.ndarray, ...]:
-    """hash, document, key and place in the document of all entries."""
-    out = []
-    size = np.dtype(kind).itemsize
-    for blob in blobs:
-        docs, n = (int(v) for v in np.frombuffer(blob, np.int64, 2))
-        at = 16 + 24 * docs
-        ids, keys, starts = _unplanes(blob[16:at], 3 * docs, np.uint64).view(np.int64).reshape(3, docs)
-        p = _unplanes(blob[at : at + 4 * n], n, np.uint32).astype(np.int64)
-        h = np.frombuffer(blob[at + 4 * n : at + (4 + size) * n], kind)
-        d = np.searchsorted(starts, p, side="right") - 1
-        out.append((h, ids[d], keys[d], p - starts[d]))
-    return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.empty(0, kind), *(np.empty(0, np.int64) for _ in range(3)))
-
-
-def _by_document(doc: np.ndarray, key: np.ndarray, place: np.ndarray) -> pd.DataFrame:
-    order = np.lexsort((place, key, doc))
-    doc, key, place = doc[order], key[order], place[order]
-    cut = np.flatnonzero(np.concatenate(([True], (doc[1:] != doc[:-1]) | (key[1:] != key[:-1])))) if len(doc) else np.empty(0, np.int64)
-    packed = np.split(_pack(place, place), cut[1:]) if len(cut) else []
-    return pd.DataFrame({"doc": doc[cut], "tkey": key[cut], "spans": pd.Series(packed, dtype=object)})
-
-
-def _exchange(flush: Callable, texts: DataFrame, resolve: Callable) -> DataFrame:
-    """Spans by (doc, tkey): each batch of documents is flushed to buckets, and each bucket resolved."""
+    order = np.lexsort((places, bucket))
+    bucket, h, places = bucket[order], h[order].astype(kind), places[order].astype(np.uint32)
+    extra = extra[order] if extra is not None else None
+    cut = _runs(bucket)
+    for a, b in zip(cut, np.append(cut[1:], len(bucket)), strict=True):
+        blob = h[a:b].tobytes() + _planes(places[a:b]) + (_planes(extra[a:b].view(np.uint64)) if extra is not None else b"")
+        rows.append((int(bucket[a]), 2, blob))
+    b, k, x = zip(*rows, strict=True)
+    return pa.record_batch([pa.array(b, pa.int32()), pa.array([batch.name] * len(rows), pa.int64()), pa.array(k, pa.int32()), pa.array(x, pa.binary())], ["bucket", "batch", "kind", "blob"])
+
+
+def _exchange(flush: Callable, texts: DataFrame, resolve: Callable, kind, extra: bool, back: int) -> DataFrame:
+    """(doc, tkey, spans): batches of documents send entries to the buckets of their hashes, buckets decide which
+    places count, and each batch turns its places p into spans p - back .. p of its documents."""
+    width = np.dtype(kind).itemsize + 4 + 8 * extra
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache, batch = WordHash(), _Batch()
@@ -140,63 +108,87 @@ def _exchange(flush: Callable, texts: DataFrame, resolve: Callable) -> DataFrame
                 w = b.column(2)[i].as_py().encode("utf-8", "surrogatepass").split()
                 batch.add(b.column(0)[i].as_py(), b.column(1)[i].as_py(), word_hashes(w, cache), spans[i].values.to_numpy() if spans is not None else None)
                 if batch.words >= BATCH_WORDS:
-                    yield _wire(flush(batch))
+                    batch.close()
+                    yield flush(batch)
                     batch = _Batch()
-        if batch.ids:
-            yield _wire(flush(batch))
+        if batch.words:
+            batch.close()
+            yield flush(batch)
 
     def at_bucket(pdf: pd.DataFrame) -> pd.DataFrame:
-        known = [np.asarray(x, np.int64) for x in pdf["spans"] if x is not None]
-        own = pd.DataFrame({"doc": np.array([x[0] for x in known], np.int64), "tkey": np.array([x[1] for x in known], np.int64), "spans": pd.Series([x[2:] for x in known], dtype=object)})
-        return pd.concat([own, resolve(pdf.loc[pdf["blob"].notna(), "blob"])], ignore_index=True)
-
-    found = texts.mapInArrow(emit, _WIRE).groupBy("bucket").applyInPandas(at_bucket, "doc long, tkey long, spans array<long>")
-    return found.groupBy("doc", "tkey").agg(F.flatten(F.collect_list("spans")).alias("spans"))
+        known = pdf.loc[pdf["kind"] < 2, ["batch", "kind", "blob"]]
+        new = pdf.loc[pdf["kind"] == 2]
+        counts = [len(x) // width for x in new["blob"]]
+        name = np.repeat(new["batch"].to_numpy(np.int64), counts)
+        h, place, more = [], [], []
+        for x, n in zip(new["blob"], counts, strict=True):
+            at = np.dtype(kind).itemsize * n
+            h.append(np.frombuffer(x[:at], kind))
+            place.append(_unplanes(x[at : at + 4 * n], n, np.uint32))
+            if extra:
+                more.append(_unplanes(x[at + 4 * n :], n, np.uint64).view(np.int64))
+        if not h:
+            return known
+        h, place = np.concatenate(h), np.concatenate(place)
+        order = np.argsort(h, kind="stable")
+        h, place, name = h[order], place[order], name[order]
+        hit = resolve(h, _runs(h), place, np.concatenate(more)[order] if extra else name)
+        name, place = name[hit], place[hit] & np.uint32(0x7FFFFFFF)
+        order = np.argsort(name, kind="stable")
+        name, place = name[order], place[order]
+        cut = _runs(name)
+        found = pd.DataFrame({"batch": name[cut], "kind": 1, "blob": pd.Series([x.tobytes() for x in np.split(place, cut[1:])] if len(cut) else [], dtype=object)})
+        return pd.concat([known, found.astype({"kind": "int32"})], ignore_index=True)
+
+    def at_home(pdf: pd.DataFrame) -> pd.DataFrame:
+        head = np.frombuffer(pdf.loc[pdf["kind"] == 0, "blob"].iloc[0], np.int64)
+        docs = (len(head) - 1) // 3
+        ids, keys, starts = head[:docs], head[docs : 2 * docs], head[2 * docs :]
+        places = np.unique(np.frombuffer(b"".join(pdf.loc[pdf["kind"] == 1, "blob"]), np.uint32)).astype(np.int64)
+        d = np.searchsorted(starts, places, side="right") - 1
+        p = places - starts[d]
+        first = np.maximum(p - back, 0)
+        fresh = np.concatenate(([True], (d[1:] != d[:-1]) | (first[1:] > p[:-1] + 1))) if len(p) else np.empty(0, bool)
+        cut = np.flatnonzero(fresh)
+        last = np.append(cut[1:], len(p)) - 1
+        packed, who = first[cut] << 32 | p[last], d[cut]
+        split = _runs(who)
+        return pd.DataFrame({"doc": ids[who[split]], "tkey": keys[who[split]], "spans": pd.Series(np.split(packed, split[1:]) if len(split) else [], dtype=object)})
+
+    decided = texts.mapInArrow(emit, _WIRE).groupBy("bucket").applyInPandas(at_bucket, "batch long, kind int, blob binary")
+    out = decided.groupBy("batch").applyInPandas(at_home, "doc long, tkey long, spans array<long>")
+    # Rows of one document may lie in several batches if the document has repeated rows.
+    return out.groupBy("doc", "tkey").agg(F.flatten(F.collect_list("spans")).alias("spans"))
 
 
 def _anchor_flush(window: int, anchor: int, buckets: int) -> Callable:
-    def flush(batch: _Batch) -> list[tuple]:
-        rows: list[tuple] = []
-        starts = np.concatenate(([0], np.cumsum(batch.lengths)))
-        doc_of = np.repeat(np.arange(len(batch.ids)), batch.lengths)
+    def flush(batch: _Batch) -> pa.RecordBatch:
+        doc_of, n = batch.doc_of, len(batch.doc_of)
         h = _rolling(np.concatenate(batch.parts), anchor)
-        long = np.array(batch.lengths) >= window
-        ok = np.flatnonzero((doc_of[: len(h)] == doc_of[anchor - 1 :]) & long[doc_of[: len(h)]])
-        h = h[ok]
-        order = np.argsort(h, kind="stable")
-        s, places = h[order], ok[order]
-        if not len(s):
-            return rows
-        run = _runs(s)
-        ids = np.array(batch.ids, np.int64)[doc_of[places]]
+        ok = np.flatnonzero((doc_of[: len(h)] == doc_of[anchor - 1 : n]) & (np.diff(batch.starts)[doc_of[: len(h)]] >= window))
+        order = np.argsort(h[ok], kind="stable")
+        places = ok[order]
+        h = h[places]
+        run = _runs(h)
+        block = (places - batch.starts[doc_of[places]]) % anchor == 0
+        if not len(h):
+            return _wire(batch, places, h, places, None, buckets, np.uint32)
+        ids = batch.long_ids[doc_of[places]]
         several = np.maximum.reduceat(ids, run) != np.minimum.reduceat(ids, run)
-        size = np.diff(np.concatenate((run, [len(s)])))
-        in_several = np.repeat(several, size)
+        in_several = _repeat(several, run, len(h))
         # A hash of several documents here is a hit for each; one entry, a block if there is one, stands for them.
-        _local_spans(rows, batch, starts, doc_of, places[in_several], buckets)
-        block = (places - starts[doc_of[places]]) % anchor == 0
-        best = np.lexsort((~block, np.repeat(np.arange(len(run)), size)))[run]
         keep = ~in_several
-        keep[best[several]] = True
-        _send(rows, batch, starts, s[keep], places[keep], buckets, np.uint32)
-        return rows
+        keep[run[several]] = True
+        sent = places | (np.where(keep & in_several, _repeat(np.logical_or.reduceat(block, run), run, len(h)), block).astype(np.int64) << 31)
+        return _wire(batch, places[in_several], h[keep], sent[keep], None, buckets, np.uint32)
 
     return flush
 
 
-def _anchor_resolve(anchor: int) -> Callable:
-    def resolve(blobs) -> pd.DataFrame:
-        h, doc, key, place = _open(blobs, np.uint32)
-        order = np.argsort(h, kind="stable")
-        h, doc, key, place = h[order], doc[order], key[order], place[order]
-        if len(h):
-            run = _runs(h)
-            hit = (np.maximum.reduceat(doc, run) != np.minimum.reduceat(doc, run)) & np.logical_or.reduceat(place % anchor == 0, run)
-            mask = np.repeat(hit, np.diff(np.concatenate((run, [len(h)]))))
-            doc, key, place = doc[mask], key[mask], place[mask]
-        return _by_document(doc, key, place)
-
-    return resolve
+def _anchor_hits(h: np.ndarray, run: np.ndarray, place: np.ndarray, name: np.ndarray) -> np.ndarray:
+    """Entries of a hash that several batches have (in a batch, one document has it) and a block among them."""
+    hit = (np.maximum.reduceat(name, run) != np.minimum.reduceat(name, run)) & np.logical_or.reduceat(place >> np.uint32(31) == 1, run)
+    return _repeat(hit, run, len(h))
 
 
 def _mask(spans, n: int) -> np.ndarray:
@@ -208,53 +200,36 @@ def _mask(spans, n: int) -> np.ndarray:
     return np.cumsum(edge[:n]) > 0
 
 
-def _window_flush(window: int, anchor: int, buckets: int) -> Callable:
-    def flush(batch: _Batch) -> list[tuple]:
-        rows: list[tuple] = []
-        starts = np.concatenate(([0], np.cumsum(batch.lengths)))
-        doc_of = np.repeat(np.arange(len(batch.ids)), batch.lengths)
-        hashes, places = [], []
-        for i, (w, spans) in enumerate(zip(batch.parts, batch.spans, strict=True)):
-            n = len(w) - window + 1
-            if n <= 0:
-                continue
-            hits = np.concatenate(([0], np.cumsum(_mask(spans, len(w)))))
-            near = np.flatnonzero(hits[np.arange(n) + window - anchor + 1] > hits[:n])  # windows that contain a hit block
-            for a, b in zip(*_edges(near), strict=True):
-                hashes.append(_rolling(w[near[a] : near[b] + window], window))
-                places.append(near[a : b + 1] + starts[i])
-        if not hashes:
-            return rows
+def _window_flush(window: int, buckets: int) -> Callable:
+    def flush(batch: _Batch) -> pa.RecordBatch:
+        hashes, places = [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
+        for start, w, spans in zip(batch.starts[:-1], batch.parts, batch.spans, strict=True):
+            near = np.flatnonzero(_mask(spans, max(len(w) - window + 1, 0)))
+            cut = np.flatnonzero(np.concatenate(([True], np.diff(near) != 1))) if len(near) else near
+            for a, b in zip(near[cut], near[np.append(cut[1:], len(near)) - 1] if len(near) else near, strict=True):
+                hashes.append(_rolling(w[a : b + window], window))
+                places.append(np.arange(a, b + 1) + start)
         h, p = np.concatenate(hashes), np.concatenate(places)
         order = np.argsort(h, kind="stable")
         h, p = h[order], p[order]
-        ids = np.array(batch.ids, np.int64)[doc_of[p]]
-        run = _runs(h)
-        first = np.repeat(np.minimum.reduceat(ids, run), np.diff(np.concatenate((run, [len(h)]))))
-        _local_spans(rows, batch, starts, doc_of, p[ids > first], buckets)
-        _send(rows, batch, starts, h[ids == first], p[ids == first], buckets, np.uint64)
-        return rows
+        ids, run = batch.long_ids[batch.doc_of[p]], _runs(h)
+        first = _repeat(np.minimum.reduceat(ids, run), run, len(h)) if len(h) else ids
+        own = ids == first
+        return _wire(batch, p[~own], h[own], p[own], ids[own], buckets, np.uint64)
 
     return flush
 
 
-def _edges(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """First and last index of each run of consecutive numbers."""
-    if not len(x):
-        return x, x
-    cut = np.flatnonzero(np.diff(x) != 1)
-    return np.concatenate(([0], cut + 1)), np.concatenate((cut, [len(x) - 1]))
+def _later(h: np.ndarray, run: np.ndarray, place: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """Entries whose window an earlier document has."""
+    return doc > _repeat(np.minimum.reduceat(doc, run), run, len(h))
 
 
-def _window_resolve(blobs) -> pd.DataFrame:
-    h, doc, key, place = _open(blobs, np.uint64)
-    order = np.argsort(h, kind="stable")
-    h, doc, key, place = h[order], doc[order], key[order], place[order]
-    if len(h):
-        run = _runs(h)
-        later = doc > np.repeat(np.minimum.reduceat(doc, run), np.diff(np.concatenate((run, [len(h)]))))
-        doc, key, place = doc[later], key[later], place[later]
-    return _by_document(doc, key, place)
+def _with_spans(left: DataFrame, spans: DataFrame, how: str) -> DataFrame:
+    """Join on document and key; the spans are broadcast only if their number is counted to be small."""
+    keys, col = spans.columns[:2], spans.columns[2]
+    total = spans.agg(F.sum(F.size(col))).first()[0] or 0
+    return lookup_join(left, spans, keys, how, BROADCAST_ROWS if total <= 2 * BROADCAST_ROWS else 0)
 
 
 def remove_repeats(docs: DataFrame, window: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -270,11 +245,12 @@ def remove_repeats(docs: DataFrame, window: int = 50, id_col: str = "doc_id", te
     anchor = window // 2
     texts = docs.select(F.col(id_col).cast("long").alias("doc"), F.xxhash64(text_col).alias("tkey"), F.col(text_col).alias("text")).where("doc is not null and text is not null")
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    buckets = max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), size // 6 // BUCKET_WORDS)
-    hits = pin(_exchange(_anchor_flush(window, anchor, buckets), texts, _anchor_resolve(anchor)))
+    buckets = max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), size // 6 // BUCKET_WORDS)
+    # A hit at p makes candidates of the windows that begin at p - (window - anchor) .. p and so contain it.
+    hits = pin(_exchange(_anchor_flush(window, anchor, buckets), texts, _anchor_hits, np.uint32, False, window - anchor))
     release(spark)
-    near = lookup_join(texts, hits, ["doc", "tkey"], "inner").select("doc", "tkey", "text", "spans")
-    gone = pin(_exchange(_window_flush(window, anchor, buckets), near, _window_resolve))
+    near = _with_spans(texts, hits, "inner").select("doc", "tkey", "text", "spans")
+    gone = pin(_exchange(_window_flush(window, buckets), near, _later, np.uint64, True, 0))
     release(spark)
 
     @F.pandas_udf("n_words long, n_removed long, kept string")
@@ -298,7 +274,7 @@ def remove_repeats(docs: DataFrame, window: int = 50, id_col: str = "doc_id", te
     # Not unique names of the caller's columns are avoided by joining on columns made here.
     keyed = docs.withColumn("__doc", F.col(id_col).cast("long")).withColumn("__tkey", F.xxhash64(text_col))
     spans = gone.select(F.col("doc").alias("__doc"), F.col("tkey").alias("__tkey"), F.col("spans").alias("__spans"))
-    joined = lookup_join(keyed, spans, ["__doc", "__tkey"], "left")
+    joined = _with_spans(keyed, spans, "left")
     return joined.withColumn("repeats", cut(F.col(text_col), F.col("__spans"))).drop("__doc", "__tkey", "__spans")
 
 
