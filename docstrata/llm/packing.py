@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import os
 import re
+import struct
 import zlib
 from collections.abc import Iterator
 
@@ -20,14 +21,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import CACHE_ENTRIES, arrow_batches, lookup_join, pin
+from .common import arrow_batches, byte_alphabet, lookup_join, pin
 
 MAX_TOKENS = 2048
 #: Coarse lengths of the fit.
 GRID = 256
 #: The pre-tokenizer's words in texts of Latin-1 characters, after lower-casing; other texts go through the tokenizer.
-_LATIN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff]+|[0-9\xb2\xb3\xb9\xbc-\xbe]|[^ \t\n\x0b\f\r\xa0a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff0-9\xb2\xb3\xb9\xbc-\xbe]+")
-_OTHER = re.compile(r"[^\t\n\x0b\f\r -~\xa0-\xff]|<\|")
+_LATIN = re.compile(r"[a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff]+|[0-9\xb2\xb3\xb9\xbc-\xbe]|'(?:s|t|re|ve|m|ll|d)|[^ \t\n\x0b\f\r\xa0a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff0-9\xb2\xb3\xb9\xbc-\xbe]+")
+_OTHER = re.compile(r"[^\t\n\x0b\f\r -~\xa0-\xff]")
+#: Words remembered by an encoder.
+WORDS = 800_000
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -48,20 +51,27 @@ class Encoder:
 
     def __init__(self, path: str) -> None:
         self.tokenizer, self.cache = _load(path), {}
+        self.model, self.letter = self.tokenizer.model, {b: c for c, b in byte_alphabet().items()}
+
+    def _learn(self, word: str) -> None:
+        """A whole pre-tokenized word goes straight to the merges, its bytes written in the vocabulary's letters."""
+        spelt = word if word.isascii() else "".join(map(self.letter.__getitem__, word.encode("utf-8")))
+        self.cache[word] = struct.pack(f"<{len(t)}I", *t) if (t := [x.id for x in self.model.tokenize(spelt)]) else b""
 
     def __call__(self, text: str) -> np.ndarray:
-        if _OTHER.search(text):
+        if "<|" in text or _OTHER.search(text):
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
         words = _LATIN.findall(text.lower())
-        cache = self.cache
-        new = [w for w in dict.fromkeys(words) if w not in cache]
-        if new:
-            if len(cache) + len(new) > CACHE_ENTRIES:
-                cache.clear()
-                new = list(dict.fromkeys(words))
-            for w, e in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False), strict=True):
-                cache[w] = np.array(e.ids, "<u4").tobytes()
-        return np.frombuffer(b"".join(map(cache.__getitem__, words)), "<u4")
+        found = list(map(self.cache.get, words))
+        if None in found:
+            new = {w for w, f in zip(words, found, strict=True) if f is None}
+            if len(self.cache) + len(new) > WORDS:
+                self.cache.clear()
+                new = set(words)
+            for w in new:
+                self._learn(w)
+            found = map(self.cache.__getitem__, words)
+        return np.frombuffer(b"".join(found), "<u4")
 
 
 def _pieces(path: str, max_tokens: int, with_ids: bool):

@@ -15,17 +15,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import CACHE_ENTRIES, arrow_batches
+from .common import CACHE_ENTRIES, arrow_batches, byte_alphabet
 from .packing import tokenizer_path
 
 
-def byte_alphabet() -> dict[str, int]:
-    """The byte each printable character stands for in byte-level vocabularies."""
-    keep = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    rest = [b for b in range(256) if b not in keep]
-    return {chr(b): b for b in keep} | {chr(256 + n): b for n, b in enumerate(rest)}
-
-
 def load_vocabulary(path: str) -> tuple[set[bytes], set[bytes]]:
     """(word beginnings, continuations) of a byte-level vocabulary: tokens with and without a leading space.
 
