@@ -2,5 +2,410 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import html, text as tx
+from ..operators import corpus as co
+from ..operators import monitoring as mo
+from ..operators import search as se
+from ..streaming import jobs
+from .adapters import NOW, VIEWS, duck, register
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def _t(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    if name in VIEWS:
+        register(spark, sf)
+        return spark.sql(VIEWS[name])
+    return spark.read.parquet(f"{sf}/{name}.parquet")
+
+
+def query(name: str, *tables: str, sql: str | None = None, roles: tuple[str, ...] | None = None):
+    """Register build(*tables) under name; sql is its equal, roles the views it names (those of tables if not given)."""
+
+    def add(build):
+        QUERIES[name] = lambda spark, sf: build(*(_t(spark, sf, t) for t in tables))
+        if sql:
+            used = roles if roles is not None else tuple(t for t in tables if t in VIEWS)
+            ORACLE_SQL[name] = duck(sql, *used) if used else sql
+        return build
+
+    return add
+
+
+def now():
+    return F.lit("2024-01-31 00:00:00").cast("timestamp")
+
+
+_COS = "list_sum(list_transform(list_zip(c.embedding::DOUBLE[], q.e::DOUBLE[]), lambda p: p[1] * p[2]))"
+_SIM = f"({_COS} / (sqrt(list_sum(list_transform(c.embedding::DOUBLE[], lambda x: x * x))) * sqrt(list_sum(list_transform(q.e::DOUBLE[], lambda x: x * x)))))"
+
+
+def _one(chunks: DataFrame, i: int = 1) -> DataFrame:
+    return chunks.where(F.col("chunk_id") == i).select(F.col("embedding").alias("q"))
+
+
+def _vector(where: str, threshold: float, k: int, i: int = 1) -> str:
+    return f"SELECT c.chunk_id, c.document_id, round({_SIM}, 6) AS similarity FROM chunks c JOIN kb_documents d ON d.id = c.document_id, (SELECT embedding AS e FROM chunks WHERE chunk_id = {i}) q WHERE {where} AND {_SIM} > {threshold} ORDER BY {_SIM} DESC, c.chunk_id LIMIT {k}"
+
+
+def _rounded(df: DataFrame, col: str = "similarity") -> DataFrame:
+    return df.withColumn(col, F.round(col, 6))
+
+
+@query("vector_topk_small", "chunks", "kb_documents", sql=_vector("true", 0.1, 10))
+def _(c, d):
+    return _rounded(se.vector_search(c, d, _one(c), 0.1, 10, when_null="all"))
+
+
+@query("vector_topk_coarse_visibility", "chunks", "kb_documents", sql=_vector("d.document_type = 'gov_crawled'", 0.05, 20))
+def _(c, d):
+    return _rounded(se.vector_search(c, d, _one(c), 0.05, 20))
+
+
+@query("vector_topk_user_folders", "chunks", "kb_documents", sql=_vector("(d.document_type = 'gov_crawled' OR d.user_id = 3) AND d.folder_id IN ('src0', 'src1')", 0.0, 20))
+def _(c, d):
+    return _rounded(se.vector_search(c, d, _one(c), 0.0, 20, 3, ["src0", "src1"]))
+
+
+@query("vector_rerank_two_stage", "chunks", "kb_documents", sql=_vector("true", 0.0, 5, 2))
+def _(c, d):
+    return _rounded(se.two_stage(c, d, _one(c, 2), 50, 5, when_null="all"))
+
+
+@query("cosine_pairs", "chunks", sql=f"SELECT c.chunk_id, round({_SIM}, 6) AS similarity FROM chunks c, (SELECT embedding AS e FROM chunks WHERE chunk_id = 0) q")
+def _(c):
+    return c.crossJoin(F.broadcast(_one(c, 0))).select("chunk_id", F.round(se.cosine(F.col("embedding"), F.col("q")), 6).alias("similarity"))
+
+
+def _bm25(words: list[str], match: str, k: int, docs: str = "kb_documents", ident: str = "id") -> str:
+    tf = ", ".join(f"len(list_filter(t, lambda x: x = '{w}')) AS tf{n}" for n, w in enumerate(words))
+    df = ", ".join(f"count(*) FILTER (tf{n} > 0) AS df{n}" for n in range(len(words)))
+    s = " + ".join(f"ln(1 + (n - df{i} + 0.5::DOUBLE) / (df{i} + 0.5::DOUBLE)) * tf{i} * 2.2::DOUBLE / (tf{i} + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * dl / avgdl))" for i in range(len(words)))
+    cond = (" AND " if match == "all" else " OR ").join(f"tf{i} > 0" for i in range(len(words)))
+    return f", tk AS (SELECT {ident} AS id, list_filter(string_split_regex(lower(content), '[^a-z0-9]+'), lambda x: x <> '') AS t FROM {docs}), ct AS (SELECT id, len(t) AS dl, {tf} FROM tk), st AS (SELECT count(*) AS n, avg(dl) AS avgdl, {df} FROM ct), kw AS (SELECT id, {s} AS bm25_score FROM ct, st WHERE {cond} ORDER BY bm25_score DESC, id LIMIT {k})"
+
+
+def _kw(words, match, k):
+    return (duck("", "kb_documents") + _bm25(words, match, k)).replace("  ,", " ,")
+
+
+QUERIES["bm25_all_terms"] = lambda s, sf: _rounded(se.bm25(_t(s, sf, "kb_documents"), "the and of", 20), "bm25_score")
+ORACLE_SQL["bm25_all_terms"] = _kw(["and", "of", "the"], "all", 20) + " SELECT id, round(bm25_score, 6) AS bm25_score FROM kw"
+QUERIES["bm25_any_term"] = lambda s, sf: _rounded(se.bm25(_t(s, sf, "kb_documents"), "licensed apache stupid", 20, "any"), "bm25_score")
+ORACLE_SQL["bm25_any_term"] = _kw(["apache", "licensed", "stupid"], "any", 20) + " SELECT id, round(bm25_score, 6) AS bm25_score FROM kw"
+
+
+def _hybrid(spark, sf, query_text, wv, wb):
+    c, d = _t(spark, sf, "chunks"), _t(spark, sf, "kb_documents")
+    v = se.vector_search(c, d, _one(c), 0.0, 20, when_null="all").select(F.col("chunk_id").alias("id"), "similarity")
+    out = se.hybrid(v, se.bm25(d, query_text, 20), wv, wb, 10)
+    return out.select("id", *[F.round(x, 6).alias(x) for x in ("vector_score", "bm25_score", "hybrid_score")])
+
+
+def _hybrid_sql(words, wv, wb):
+    vec = _vector("true", 0.0, 20).replace(f"round({_SIM}, 6)", _SIM)
+    return duck("", "kb_documents", "chunks") + _bm25(words, "all", 20) + f", vv AS (SELECT chunk_id AS id, similarity FROM ({vec})), hh AS (SELECT coalesce(vv.id, kw.id) AS id, coalesce(similarity, 0) AS v, coalesce(bm25_score, 0) AS b FROM vv FULL OUTER JOIN kw ON vv.id = kw.id) SELECT id, round(v, 6) AS vector_score, round(b, 6) AS bm25_score, round({wv}::DOUBLE * v + {wb}::DOUBLE * b, 6) AS hybrid_score FROM hh ORDER BY {wv}::DOUBLE * v + {wb}::DOUBLE * b DESC, id LIMIT 10"
+
+
+QUERIES["hybrid_weighted"] = lambda s, sf: _hybrid(s, sf, "the and of", 0.7, 0.3)
+ORACLE_SQL["hybrid_weighted"] = _hybrid_sql(["and", "of", "the"], 0.7, 0.3)
+QUERIES["hybrid_smart"] = lambda s, sf: _hybrid(s, sf, "version 2", 0.4, 0.6)
+ORACLE_SQL["hybrid_smart"] = _hybrid_sql(["2", "version"], 0.4, 0.6)
+
+
+@query("query_kind_weights", "benchmark", sql="SELECT item_id, CASE WHEN x THEN 0.4 ELSE 0.7 END::DOUBLE AS vector_weight, CASE WHEN x THEN 'keyword_boosted' ELSE 'semantic_primary' END AS search_strategy FROM (SELECT item_id, regexp_matches(text, '\\d') OR regexp_matches(text, '\\b[A-Z]{3,}\\b') OR regexp_matches(text, '\"[^\"]+\"') AS x FROM benchmark)")
+def _(b):
+    w = se.query_weights(F.col("text"))
+    return b.select("item_id", w["vector_weight"].cast("double").alias("vector_weight"), w["search_strategy"].alias("search_strategy"))
+
+
+@query("chunk_stats_by_doc", "chunks", sql="SELECT document_id, count(*) AS chunk_count, count(embedding) AS embedded, round(avg(chunk_index), 6) AS avg_index FROM chunks GROUP BY 1")
+def _(c):
+    return mo.chunk_stats(c)
+
+
+_CACHE = "SELECT c_nationkey * 10 + c_custkey % 7 AS query_key, count(*) - 25 AS hit_count, max(c_custkey) AS last_used FROM customer GROUP BY 1"
+
+
+def _cache(customer):
+    return customer.groupBy((F.col("c_nationkey") * 10 + F.col("c_custkey") % 7).alias("query_key")).agg((F.count(F.lit(1)) - 25).alias("hit_count"), F.max("c_custkey").alias("last_used"))
+
+
+@query("cache_stats", "customer", sql=f"SELECT count(*) AS total, CAST(sum(hit_count) AS BIGINT) AS hits, round(avg(hit_count), 6) AS avg_hits, count(*) FILTER (hit_count > 1) AS reused, round(100.0::DOUBLE * (count(*) FILTER (hit_count > 1)) / nullif(count(*), 0), 2) AS reuse_rate FROM ({_CACHE})")
+def _(c):
+    return mo.cache_stats(_cache(c))
+
+
+@query("popular_queries", "customer", sql=f"SELECT * FROM ({_CACHE}) WHERE hit_count > 1 ORDER BY hit_count DESC, last_used DESC, query_key LIMIT 100")
+def _(c):
+    return mo.popular(_cache(c))
+
+
+@query("queue_stats_recent", "queue", sql=f"SELECT status, count(*) AS n FROM queue WHERE status <> 'completed' OR processed_at > {NOW} - INTERVAL 1 DAY GROUP BY 1")
+def _(q):
+    return mo.queue_stats(q, now())
+
+
+@query("queue_stats_pivot", "queue", sql="SELECT count(*) FILTER (status = 'pending') AS pending, count(*) FILTER (status = 'processing') AS processing, count(*) FILTER (status = 'failed') AS failed, CAST(0 AS BIGINT) AS completed, count(*) AS total FROM queue WHERE status <> 'completed'")
+def _(q):
+    return mo.queue_pivot(q)
+
+
+@query("queue_head_text_priority", "queue", sql="SELECT id, priority FROM queue WHERE status = 'pending' ORDER BY priority DESC, created_at, id LIMIT 80")
+def _(q):
+    return co.queue_head(q, 80).select("id", "priority")
+
+
+@query("queue_head_semantic_priority", "queue", sql="SELECT id, priority FROM queue WHERE status = 'pending' ORDER BY CASE priority WHEN 'high' THEN 2 WHEN 'normal' THEN 1 ELSE 0 END DESC, created_at, id LIMIT 80")
+def _(q):
+    return co.queue_head(q, 80, True).select("id", "priority")
+
+
+@query("queue_transition", "queue", sql="SELECT id, CASE WHEN r THEN 'pending' ELSE 'failed' END AS status, CASE WHEN r THEN attempts + 1 ELSE attempts END AS attempts FROM (SELECT *, regexp_matches(message, '(?i)timeout|502|503|fetch') AND attempts + 1 < 3 AS r FROM queue)")
+def _(q):
+    return q.select("id", co.after_failure(F.col("message"), F.col("attempts")).alias("s")).select("id", "s.*")
+
+
+@query("queue_cleanup_count", "queue", sql=f"SELECT count(*) AS removed FROM queue WHERE status = 'completed' AND processed_at < {NOW} - INTERVAL 7 DAYS")
+def _(q):
+    return co.cleanup(q, now(), 7)[1]
+
+
+@query("crawler_stats_24h", "metrics", sql="SELECT count(*) AS total, count(*) FILTER (status = 'success') AS success, count(*) FILTER (status = 'failed') AS failed, count(*) FILTER (status = 'skipped') AS skipped, printf('%.1f%%', 100.0 * (count(*) FILTER (status = 'success')) / count(*)) AS success_rate, printf('%.1f%%', 100.0 * (count(*) FILTER (status = 'failed')) / count(*)) AS failure_rate, CAST(round(sum(duration_ms) / count(*)) AS BIGINT) AS avg_ms FROM metrics WHERE ts >= TIMESTAMP '2024-01-29 00:00:00'")
+def _(m):
+    return mo.crawler_stats(m, F.lit("2024-01-29 00:00:00").cast("timestamp"))
+
+
+@query("recent_failure_alert", "metrics", sql="SELECT round(coalesce((count(*) FILTER (status = 'failed')) / nullif(count(*), 0), 0), 6) AS failure_rate, coalesce((count(*) FILTER (status = 'failed')) / nullif(count(*), 0), 0) > 0.2 AS alert FROM metrics WHERE ts >= TIMESTAMP '2024-01-29 00:00:00'")
+def _(m):
+    return mo.failure_rate(m, F.lit("2024-01-29 00:00:00").cast("timestamp"))
+
+
+@query("trailing_hour_failure_rate", "metrics", sql="SELECT id, source_id, round((sum(CASE WHEN status = 'failed' THEN 1 ELSE 0 END) OVER w) / (count(*) OVER w), 6) AS rate FROM metrics WINDOW w AS (PARTITION BY source_id ORDER BY CAST(floor(epoch(ts)) AS BIGINT) RANGE BETWEEN 3600 PRECEDING AND CURRENT ROW)")
+def _(m):
+    return mo.trailing_failure_rate(m)
+
+
+@query("daily_crawl_stats", "metrics", sql="SELECT CAST(day AS VARCHAR) AS day, total, success, failed, skipped, duration_ms FROM (SELECT CAST(ts AS DATE) AS day, count(*) AS total, count(*) FILTER (status = 'success') AS success, count(*) FILTER (status = 'failed') AS failed, count(*) FILTER (status = 'skipped') AS skipped, round(sum(duration_ms), 2) AS duration_ms FROM metrics GROUP BY 1 ORDER BY 1 DESC LIMIT 7) ORDER BY day")
+def _(m):
+    return mo.daily_stats(m).withColumn("day", F.col("day").cast("string"))
+
+
+@query("dashboard_kpis", "sources", "crawl_pages", "metrics", sql="SELECT (SELECT count(*) FROM sources) AS sources, (SELECT count(*) FROM crawl_pages) AS pages, count(*) AS crawls, round(100.0::DOUBLE * (count(*) FILTER (status = 'success')) / count(*), 1) AS success_rate FROM metrics WHERE ts >= TIMESTAMP '2024-01-29 00:00:00'")
+def _(s, p, m):
+    return mo.dashboard(s, p, m, F.lit("2024-01-29 00:00:00").cast("timestamp"))
+
+
+@query("sources_page_counts", "sources", "crawl_pages", sql="SELECT source_id, name, coalesce(n, 0) AS pages FROM sources LEFT JOIN (SELECT source_id, count(*) AS n FROM crawl_pages GROUP BY 1) USING (source_id)")
+def _(s, p):
+    return mo.page_counts(s, p)
+
+
+@query("pages_with_source", "crawl_pages", "sources", sql="SELECT page_id, status, name FROM crawl_pages LEFT JOIN sources USING (source_id)")
+def _(p, s):
+    return p.join(s, "source_id", "left").select("page_id", "status", "name")
+
+
+@query("recent_activity", "crawl_pages", sql="SELECT page_id, CAST(CAST(crawled_at AS DATE) AS VARCHAR) AS day FROM crawl_pages ORDER BY crawled_at DESC NULLS FIRST, page_id LIMIT 50")
+def _(p):
+    return mo.recent(p, "crawled_at", "page_id", 50).select("page_id", F.to_date("crawled_at").cast("string").alias("day"))
+
+
+@query("offset_page", "crawl_pages", sql="SELECT page_id, CAST(CAST(crawled_at AS DATE) AS VARCHAR) AS day FROM crawl_pages ORDER BY crawled_at DESC, page_id LIMIT 5 OFFSET 10")
+def _(p):
+    return mo.page_of(p, [F.desc("crawled_at"), "page_id"], 10, 5).select("page_id", F.to_date("crawled_at").cast("string").alias("day"))
+
+
+_ENTRIES = "SELECT 'u' || (o_orderkey % 5000) AS url, max(CAST(o_orderdate AS TIMESTAMP)) AS lastmod FROM orders GROUP BY 1"
+_PAGES = "SELECT 'u' || o_orderkey AS url, CASE o_orderstatus WHEN 'F' THEN 'failed' ELSE 'success' END AS status, CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE CAST(o_orderdate AS TIMESTAMP) END AS sitemap_lastmod, CASE WHEN o_orderkey % 2 = 0 THEN TIMESTAMP '2024-01-30 12:00:00' ELSE TIMESTAMP '2024-01-28 00:00:00' END AS last_crawled_at FROM orders WHERE o_orderkey % 4 <> 1"
+
+
+def _sql(name: str, sql: str, spark_sql: Callable):
+    QUERIES[name] = spark_sql
+    ORACLE_SQL[name] = sql
+
+
+_sql("sitemap_diff", f"SELECT url, CASE WHEN status IS NULL THEN true WHEN status = 'failed' THEN last_crawled_at <= {NOW} - INTERVAL 24 HOURS WHEN lastmod IS NOT NULL AND sitemap_lastmod IS NOT NULL THEN lastmod > sitemap_lastmod ELSE true END AS take FROM ({_ENTRIES}) LEFT JOIN ({_PAGES}) USING (url)", lambda s, sf: (register(s, sf), co.sitemap_diff(s.sql(_ENTRIES), s.sql(_PAGES), now()))[1])
+
+
+@query("expired_url_filter", "pages", sql=f"SELECT page_id, url FROM pages WHERE NOT regexp_matches(url, '{tx.EXPIRED}')")
+def _(p):
+    return p.where(~tx.expired_path(F.col("url"))).select("page_id", "url")
+
+
+_EDGES = "SELECT o_custkey % 400 AS src, (o_orderkey * 7) % 400 AS dst FROM orders WHERE o_orderkey % 5 = 0"
+_sql("link_frontier_anti", f"SELECT src, dst FROM (SELECT src, dst, row_number() OVER (PARTITION BY src ORDER BY dst) AS rn FROM (SELECT DISTINCT src, dst FROM ({_EDGES})) WHERE dst NOT IN (SELECT c_custkey % 400 FROM customer WHERE c_custkey % 3 = 0)) WHERE rn <= 5", lambda s, sf: (register(s, sf), co.frontier(s.sql(_EDGES), s.sql("SELECT c_custkey % 400 AS dst FROM customer WHERE c_custkey % 3 = 0"), ["dst"], 5).select("src", "dst"))[1])
+_sql("bfs_depth3", f"WITH RECURSIVE e AS ({_EDGES}), r(node, depth) AS (SELECT 1::BIGINT, 0 UNION SELECT e.dst, r.depth + 1 FROM r JOIN e ON e.src = r.node WHERE r.depth < 3) SELECT node, min(depth) AS depth FROM r GROUP BY 1", lambda s, sf: (register(s, sf), co.bfs(s.sql(_EDGES), s.sql("SELECT 1L AS node")))[1])
+
+
+@query("domain_rate_schedule", "crawl_pages", sql="SELECT page_id, CAST(floor((row_number() OVER (PARTITION BY source_id ORDER BY crawled_at, page_id) - 1) / 5) * 60 AS BIGINT) AS start_s FROM crawl_pages")
+def _(p):
+    return co.schedule(p, "source_id", ["crawled_at", "page_id"]).select("page_id", "start_s")
+
+
+@query("url_slice_50", "pages", sql="SELECT page_id, url FROM (SELECT *, row_number() OVER (ORDER BY url, page_id) AS rn FROM pages) WHERE rn > 50 AND rn <= 100")
+def _(p):
+    return mo.page_of(p, ["url", "page_id"], 50, 50).select("page_id", "url")
+
+
+@query("rls_documents", "kb_documents", sql="SELECT id FROM kb_documents WHERE document_type = 'gov_crawled' OR user_id = 2")
+def _(d):
+    return se.secure_view(d, 2).select("id")
+
+
+@query("rls_messages_semi", "conversations", "sources", sql="SELECT conv_id, turn FROM conversations m WHERE EXISTS (SELECT 1 FROM sources s WHERE s.source_id = m.conv_id AND s.source_id % 7 = 3)")
+def _(m, s):
+    own = s.select(F.col("source_id").alias("conv"), (F.col("source_id") % 7).alias("user_id"))
+    return co.child_view(m, own, "conv_id", "conv", 3).select("conv_id", "turn")
+
+
+@query("users_without_plan", "sources", "plans", sql="SELECT source_id AS user_id FROM sources WHERE source_id NOT IN (SELECT user_id FROM plans)")
+def _(s, p):
+    return co.without_plan(s.select(F.col("source_id").alias("user_id")), p)
+
+
+_USE = f"SELECT user_id, CAST(CASE WHEN cycle_end < {NOW} THEN 0 ELSE messages_used END AS INT) AS messages_used, CASE WHEN cycle_end < {NOW} THEN {NOW} + INTERVAL 30 DAYS ELSE cycle_end END AS cycle_end, CASE WHEN cycle_end < {NOW} THEN 0 ELSE messages_used END < messages_limit AS can_send FROM plans"
+
+
+@query("usage_cycle_reset", "plans", sql=f"SELECT user_id, messages_used, CAST(CAST(cycle_end AS DATE) AS VARCHAR) AS cycle_end FROM ({_USE})")
+def _(p):
+    return co.usage(p, now()).select("user_id", "messages_used", F.to_date("cycle_end").cast("string").alias("cycle_end"))
+
+
+@query("can_send_message", "plans", sql=f"SELECT user_id, can_send FROM ({_USE})")
+def _(p):
+    return co.usage(p, now()).select("user_id", "can_send")
+
+
+@query("trust_levels", "kb_documents", sql="SELECT id, CAST(CASE WHEN document_type = 'gov_crawled' THEN 1.00 ELSE 0.70 END AS DOUBLE) AS trust_level FROM kb_documents")
+def _(d):
+    return d.select("id", co.trust_level(F.col("document_type")).cast("double").alias("trust_level"))
+
+
+@query("constraint_audit", "conversations", sql="SELECT 'role' AS rule, count(*) FILTER (NOT coalesce(role IN ('user', 'assistant', 'system'), false)) AS violations FROM conversations UNION ALL SELECT 'content', count(*) FILTER (NOT coalesce(length(text) > 20, false)) FROM conversations")
+def _(c):
+    return co.audit(c, {"role": F.col("role").isin("user", "assistant", "system"), "content": F.length("text") > 20})
+
+
+_STALE = "SELECT o_orderkey AS id, CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE CAST(o_orderdate AS TIMESTAMP) END AS updated_at, CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE TIMESTAMP '1996-01-01 00:00:00' END AS embedded_at FROM orders"
+_sql("stale_documents", f"SELECT id FROM ({_STALE}) WHERE embedded_at IS NULL OR (updated_at IS NOT NULL AND updated_at > embedded_at)", lambda s, sf: (register(s, sf), s.sql(_STALE).where(co.stale(F.col("updated_at"), F.col("embedded_at"))).select("id"))[1])
+
+
+@query("content_hash_changed", "documents", "kb_documents", sql="SELECT d.doc_id, sha256(text) AS content_hash, sha256(text) <> sha256(CASE WHEN doc_id % 4 = 0 THEN text || '.' ELSE text END) AS changed FROM documents d", roles=())
+def _(d, k):
+    old = k.select(F.col("id").alias("doc_id"), F.sha2(F.when(F.col("id") % 4 == 0, F.concat("content", F.lit("."))).otherwise(F.col("content")), 256).alias("old"))
+    return d.join(old, "doc_id", "left").select("doc_id", F.sha2("text", 256).alias("content_hash"), (F.sha2("text", 256) != F.col("old")).alias("changed"))
+
+
+_NEW = "SELECT o_custkey AS document_id, o_orderkey % 10 AS chunk_index, max(o_orderkey % 7) AS chunk_hash FROM orders WHERE o_orderkey % 3 <> 0 GROUP BY 1, 2"
+_OLD = "SELECT o_custkey AS document_id, o_orderkey % 10 AS chunk_index, max(o_orderkey % 7) AS chunk_hash FROM orders WHERE o_orderkey % 3 <> 1 GROUP BY 1, 2"
+_ACT = f"SELECT document_id, chunk_index, CASE WHEN o.chunk_hash IS NULL THEN 'insert' WHEN n.chunk_hash IS NULL THEN 'delete' WHEN n.chunk_hash = o.chunk_hash THEN 'keep' ELSE 'update' END AS action FROM ({_NEW}) n FULL OUTER JOIN ({_OLD}) o USING (document_id, chunk_index)"
+_sync = lambda s, sf: (register(s, sf), co.sync_actions(s.sql(_NEW), s.sql(_OLD), ["document_id", "chunk_index"]))[1]
+_sql("chunk_sync_actions", _ACT, _sync)
+_sql("chunk_sync_counts", f"SELECT action, count(*) AS n FROM ({_ACT}) GROUP BY 1", lambda s, sf: _sync(s, sf).groupBy("action").agg(F.count(F.lit(1)).alias("n")))
+
+
+@query("upsert_latest", "orders", sql="SELECT o_custkey AS key, max(o_orderkey) AS version FROM orders GROUP BY 1")
+def _(o):
+    rows = o.select(F.col("o_custkey").alias("key"), F.col("o_orderkey").alias("version"))
+    return co.upsert(rows.where("version % 2 = 0"), rows.where("version % 2 = 1"), ["key"], "version")
+
+
+def _text(name: str, build, sql: str) -> None:
+    query(name, "documents", sql=f"SELECT doc_id, {sql} FROM documents")(lambda d: d.select("doc_id", *build(F.col("text"))))
+
+
+def _like(words) -> str:
+    return " OR ".join(f"contains(lower(text), '{w}')" for w in words)
+
+
+def _case(table, default: str) -> str:
+    return "CASE " + " ".join(f"WHEN regexp_matches(text, '(?i){p}') THEN '{n.replace(chr(39), chr(39) * 2)}'" for n, p in table) + f" ELSE '{default}' END"
+
+
+def _listed(pairs, default: str | None = None) -> str:
+    array = "list_filter([" + ", ".join(f"CASE WHEN {c} THEN '{n}' END" for n, c in pairs) + "], lambda x: x IS NOT NULL)"
+    return f"array_to_string({array}, ',')" if default is None else f"coalesce(nullif(array_to_string({array}, ','), ''), '{default}')"
+
+
+_joined = lambda c, n: F.array_join(c, ",").alias(n)
+_text("truncate_validate", lambda t: [F.length(tx.truncate(t, 300)).cast("long").alias("kept"), tx.content_valid(t, F.lit("title")).alias("valid"), F.round(tx.truncation(t, 300)["ratio"], 6).alias("ratio")], "length(CASE WHEN length(text) <= 300 THEN text ELSE substr(text, 1, 300) || chr(10) || chr(10) || '[Content truncated due to size limits]' END) AS kept, length(text) >= 100 AS valid, round(CASE WHEN length(text) = 0 THEN 1 ELSE least(length(text), 300) / length(text) END, 6) AS ratio")
+_text("token_estimates", lambda t: [tx.token_estimate(t, 4).alias("by4"), tx.token_estimate(t, 3.5).alias("by35"), tx.word_count(t).cast("long").alias("words")], "CAST(ceil(length(text) / 4.0::DOUBLE) AS BIGINT) AS by4, CAST(ceil(length(text) / 3.5::DOUBLE) AS BIGINT) AS by35, len(string_split_regex(text, '\\s+')) AS words")
+_text("language_detect", lambda t: [tx.detect_language(t).alias("language")], "CASE WHEN " + " + ".join(f"contains(lower(text), '{w}')::INT" for w in tx.MALAY) + " > " + " + ".join(f"contains(lower(text), '{w}')::INT" for w in tx.ENGLISH) + " THEN 'ms' ELSE 'en' END AS language")
+_text("page_type", lambda t: [tx.page_type(F.lit(""), t).alias("page_type")], "CASE " + " ".join(f"WHEN {_like(w)} THEN '{n}'" for n, w in tx.PAGE_TYPES) + " ELSE 'general' END AS page_type")
+_text("topic_keywords", lambda t: [_joined(tx.topic_keywords(t), "topics")], _listed([(n, _like(w)) for n, w in tx.TOPICS.items()]) + " AS topics")
+_text("service_topics", lambda t: [_joined(tx.service_topics(t), "topics")], _listed([(n, _like(w)) for n, w in tx.SERVICE_TOPICS.items()]) + " AS topics")
+_text("document_type", lambda t: [tx.document_type(t).alias("document_type")], _case(tx.DOCUMENT_TYPES, "guide") + " AS document_type")
+_text("content_category", lambda t: [tx.content_category(t).alias("category")], _case(tx.CATEGORIES[::-1], "contact") + " AS category")
+_text("ministry_audience", lambda t: [tx.ministry(t).alias("ministry"), _joined(tx.audience(t), "audience")], _case(tx.MINISTRIES, "Unknown Ministry") + " AS ministry, " + _listed([(n, f"regexp_matches(text, '(?i){p}')") for n, p in tx.AUDIENCES], "Citizens") + " AS audience")
+_text("entities", lambda t: [_joined(tx.entities(t), "entities")], "array_to_string(list_concat(" + ", ".join(f"list_transform(regexp_extract_all(text, '{p}'), lambda m: '{k}:' || m)" for k, p in {"ic_number": r"\d{6}-\d{2}-\d{4}", "phone": r"0\d{1,2}-\d{7,8}|\+60\d{1,2}-\d{7,8}", "email": tx.EMAIL, "dates": tx.DATE, "money": r"(?i)RM\s*\d+(?:,\d{3})*(?:\.\d{2})?|\d+(?:,\d{3})*(?:\.\d{2})?\s*ringgit"}.items()) + "), ',') AS entities")
+_text("contact_fees", lambda t: [tx.contacts(t)[k].alias(k) for k in ("phone", "email", "fee")], f"nullif(regexp_extract(text, '{tx.PHONE}', 0), '') AS phone, nullif(regexp_extract(text, '{tx.EMAIL}', 0), '') AS email, nullif(regexp_extract(text, '{tx.FEE}', 0), '') AS fee")
+_text("content_score", lambda t: [F.round(tx.content_score(t), 4).alias("score")], "round(CASE WHEN length(text) < 100 THEN 0 ELSE least(length(text) / 100.0::DOUBLE, 100) + 2 * len(list_filter(string_split_regex(text, '[.!?]+'), lambda s: length(regexp_replace(s, '^\\s+|\\s+$', '', 'g')) > 10)) + 50.0::DOUBLE * len(list_distinct(string_split_regex(lower(text), '\\s+'))) / len(string_split_regex(lower(text), '\\s+')) + 5 * (" + " + ".join(f"contains(lower(text), '{w}')::INT" for w in tx.GOV_KEYWORDS) + ") END, 4) AS score")
+_text("confidence_completeness", lambda t: [F.round(tx.confidence(t), 6).alias("confidence"), F.round(tx.completeness(t), 6).alias("completeness")], f"round(least(1.0::DOUBLE, 0.5::DOUBLE + 0.1::DOUBLE * ((length(text) > 100)::INT + (length(text) > 500)::INT + regexp_matches(text, '\\d+\\.|[A-Z]\\.|•|-')::INT + regexp_matches(text, '(?i)eligib|require|apply|contact')::INT + regexp_matches(text, '{tx.DATE}')::INT + regexp_matches(text, '(?i)ministry|kementerian|government|kerajaan')::INT)), 6) AS confidence, round(CASE WHEN k = 0 THEN 0.5::DOUBLE ELSE k / 6.0::DOUBLE END, 6) AS completeness")
+ORACLE_SQL["confidence_completeness"] = ORACLE_SQL["confidence_completeness"].replace("FROM documents", "FROM (SELECT *, " + " + ".join(f"regexp_matches(text, '(?i){p}')::INT" for p in ("eligib|layak", "apply|mohon", "require|perlu|dokumen", "contact|hubungi", "benefit|bantuan|faedah")) + f" + (len(regexp_extract_all(text, '{tx.DATE}')) > 1)::INT AS k FROM documents)")
+_text("line_filters", lambda t: [F.md5(tx.drop_lines(tx.drop_lines(t, tx.PAGE_NUMBER), tx.HEADER)).alias("digest")], f"md5(array_to_string(list_filter(string_split(text, chr(10)), lambda l: NOT regexp_matches(trim(l, ' '), '{tx.PAGE_NUMBER}') AND NOT regexp_matches(trim(l, ' '), '{tx.HEADER}')), chr(10))) AS digest")
+_text("dedupe_lines", lambda t: [F.md5(tx.dedupe_lines(t)).alias("digest")], "md5(array_to_string(list_filter(string_split(text, chr(10)), lambda l, i: length(trim(l, ' ')) < 3 OR list_position(list_transform(string_split(text, chr(10)), lambda m: trim(m, ' ')), trim(l, ' ')) = i), chr(10))) AS digest")
+_text("paragraph_chunks", lambda t: [F.size(tx.paragraphs(t)).cast("long").alias("paragraphs"), F.size(tx.sentences(t)).cast("long").alias("sentences")], "len(list_filter(string_split_regex(text, '\\n\\s*\\n'), lambda p: trim(p) <> '')) AS paragraphs, len(list_filter(string_split_regex(text, '[.!?]+'), lambda s: length(regexp_replace(s, '^\\s+|\\s+$', '', 'g')) > 10)) AS sentences")
+_text("collapse_space", lambda t: [F.md5(tx.collapse(t)).alias("digest")], "md5(trim(regexp_replace(text, '\\s+', ' ', 'g'))) AS digest")
+
+
+@query("sentence_chunks", "documents", sql="SELECT doc_id, CAST(pos AS INT) AS chunk_index, md5(chunks[pos + 1]) AS digest FROM (SELECT doc_id, chunks, unnest(range(0, len(chunks))) AS pos FROM (SELECT doc_id, CASE WHEN len(p) = 0 THEN [text] ELSE CASE WHEN f.cur <> '' THEN list_append(f.done, trim(f.cur, ' ')) ELSE f.done END END AS chunks FROM (SELECT doc_id, text, p, list_reduce(list_prepend({'done': CAST([] AS VARCHAR[]), 'cur': ''}, list_transform(p, lambda x: {'done': CAST([] AS VARCHAR[]), 'cur': x})), lambda s, x: CASE WHEN length(s.cur) + length(x.cur) > 1000 AND s.cur <> '' THEN {'done': list_append(s.done, trim(s.cur, ' ')), 'cur': x.cur} ELSE {'done': s.done, 'cur': CASE WHEN s.cur = '' THEN x.cur ELSE s.cur || '. ' || x.cur END} END) AS f FROM (SELECT doc_id, text, list_filter(list_transform(string_split_regex(text, '[.!?]+'), lambda s: regexp_replace(s, '^\\s+|\\s+$', '', 'g')), lambda s: s <> '') AS p FROM documents))))")
+def _(d):
+    return d.select("doc_id", F.posexplode(tx.sentence_chunks(F.col("text"))).alias("chunk_index", "c")).select("doc_id", "chunk_index", F.md5("c").alias("digest"))
+
+
+def _rows(name: str, *tables: str):
+    """A query without SQL: its operator parses HTML or runs a stream."""
+    return query(name, *tables)
+
+
+@_rows("normalize_text", "documents")
+def _(d):
+    return d.select("doc_id", F.md5(tx.normalize(F.col("text"))).alias("digest"))
+
+
+@_rows("html_clean", "pages")
+def _(p):
+    return html.clean_pages(p)
+
+
+@_rows("html_sections", "pages")
+def _(p):
+    return html.sections(p)
+
+
+@_rows("html_links", "pages")
+def _(p):
+    return html.links(p)
+
+
+@_rows("html_tables", "pages")
+def _(p):
+    return html.tables(p)
+
+
+@_rows("semantic_chunks", "pages")
+def _(p):
+    return html.semantic_chunks(p)
+
+
+@_rows("chunk_metadata", "pages")
+def _(p):
+    return html.chunk_metadata(p)
+
+
+@_rows("rule_extraction", "pages")
+def _(p):
+    return html.rules(p)
+
+
+QUERIES["stream_daily_crawls"] = lambda s, sf: jobs.daily_crawls(s, sf).withColumn("day", F.col("day").cast("string"))
+ORACLE_SQL["stream_daily_crawls"] = "SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS day, event_type, count(*) AS n FROM events GROUP BY 1, 2"
+QUERIES["embed_queue_drain"] = jobs.drain_queue
+ORACLE_SQL["embed_queue_drain"] = duck("SELECT id, CASE WHEN status <> 'pending' THEN status WHEN message = 'bad input' THEN 'failed' ELSE 'completed' END AS status FROM queue", "queue")
