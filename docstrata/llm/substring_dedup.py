@@ -145,15 +145,17 @@ def _exchange(flush: Callable, texts: DataFrame, resolve: Callable, kind, extra:
         docs = (len(head) - 1) // 3
         ids, keys, starts = head[:docs], head[docs : 2 * docs], head[2 * docs :]
         places = np.unique(np.frombuffer(b"".join(pdf.loc[pdf["kind"] == 1, "blob"]), np.uint32)).astype(np.int64)
+        if not len(places):
+            return pd.DataFrame({"doc": np.empty(0, np.int64), "tkey": np.empty(0, np.int64), "spans": pd.Series([], dtype=object)})
         d = np.searchsorted(starts, places, side="right") - 1
         p = places - starts[d]
         first = np.maximum(p - back, 0)
-        fresh = np.concatenate(([True], (d[1:] != d[:-1]) | (first[1:] > p[:-1] + 1))) if len(p) else np.empty(0, bool)
+        fresh = np.concatenate(([True], (d[1:] != d[:-1]) | (first[1:] > p[:-1] + 1)))
         cut = np.flatnonzero(fresh)
         last = np.append(cut[1:], len(p)) - 1
         packed, who = first[cut] << 32 | p[last], d[cut]
         split = _runs(who)
-        return pd.DataFrame({"doc": ids[who[split]], "tkey": keys[who[split]], "spans": pd.Series(np.split(packed, split[1:]) if len(split) else [], dtype=object)})
+        return pd.DataFrame({"doc": ids[who[split]], "tkey": keys[who[split]], "spans": pd.Series(np.split(packed, split[1:]), dtype=object)})
 
     decided = texts.mapInArrow(emit, _WIRE).groupBy("bucket").applyInPandas(at_bucket, "batch long, kind int, blob binary")
     out = decided.groupBy("batch").applyInPandas(at_home, "doc long, tkey long, spans array<long>")

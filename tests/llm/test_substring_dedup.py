@@ -46,3 +46,8 @@ def test_small_windows_and_odd_rows(spark):
 
 def test_empty(spark):
     assert run(spark.createDataFrame([], "doc_id long, text string"), 50) == []
+
+
+def test_nothing_repeats(spark):
+    rows = [(i, " ".join(f"w{i}x{j}" for j in range(60))) for i in range(6)]
+    assert run(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), 50) == brute(rows, 50)
