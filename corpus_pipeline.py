@@ -45,7 +45,7 @@ STAGES = [
     ("benchmark_decontamination", benchmark_decontamination),
     ("best_fit_packing", best_fit_packing),
 ]
-#: Tokenisation and the fitted models have no SQL form; tests/llm/test_pipeline.py compares with brute force.
+#: Tokenisation and the fitted models have no SQL form; tests/llm/test_pipeline.py compares with a direct count of what the stages keep.
 ORACLE_SQL = None
 
 
