@@ -40,9 +40,9 @@ def directory(sizes: DataFrame, limit: int) -> tuple[int, DataFrame]:
     at = up.withColumn("above_bucket", F.shiftright("bucket", 1))
     leaf = at.join(parent.withColumnRenamed("bucket", "above_bucket"), ["depth", "above_bucket"], "left")
     leaf = leaf.where(((F.col("bytes") <= limit) | (F.col("depth") == bits)) & (F.col("above").isNull() | (F.col("above") > limit))).select("depth", "bucket", "bytes")
-    # Every slot under a leaf points to it: 2^(bits - depth) slots.
-    fan = F.call_function("shiftleft", F.lit(1).cast("long"), F.lit(bits) - F.col("depth"))
-    return bits, leaf.select("depth", "bucket", "bytes", F.explode(F.sequence(F.col("bucket") * fan, F.col("bucket") * fan + fan - 1)).alias("slot"))
+    # Every slot that has documents points to its leaf; empty slots of a deep directory are never listed.
+    below = slots.select("slot", F.explode(level).alias("b")).select("slot", "b.depth", "b.bucket")
+    return bits, below.join(leaf, ["depth", "bucket"]).select("depth", "bucket", "bytes", "slot")
 
 
 def shard(docs: DataFrame, limit: int = 256 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
