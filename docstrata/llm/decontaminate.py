@@ -33,17 +33,22 @@ def _hash(at, size: int) -> Column:
     return F.xxhash64(F.lit(size), *[at(j) for j in range(size)])
 
 
-def _probe(docs: DataFrame, sizes: list[int], table: DataFrame) -> list[DataFrame]:
-    """Each shingle of a size in sizes that table has by its hash h, with its document's words and its place.
+def _probe(docs: DataFrame, sizes: list[int], table: DataFrame, around: int) -> list[DataFrame]:
+    """Each shingle of a size in sizes that table has by its hash h, with its document, its place pos, and words near
+    it: near, in which the shingle begins at `at`.
 
-    The join comes before the union, so that words are dropped while rows still stream through one generated loop and
-    a long text is never copied for each of its shingles.
+    A small table is broadcast and near is the whole text, which no row copies: the join comes before the union, so
+    words are dropped while rows still stream through one generated loop. For a larger table rows are shuffled, so
+    near is cut to `around` words before the place and as many from it on.
     """
     rows = docs.select("doc_id", "tkey", "w", F.posexplode("w").alias("pos", "word"))
+    small = table.limit(PREFIX_ROWS + 1).count() <= PREFIX_ROWS
+    begin = F.greatest(F.col("pos") - around, F.lit(0))
+    near, at = (F.col("w"), F.col("pos")) if small else (F.slice("w", begin + 1, F.col("pos") - begin + around), F.col("pos") - begin)
     parts = []
     for n in sizes:
-        h = rows.where(F.get("w", F.col("pos") + (n - 1)).isNotNull()).withColumn("h", _hash(lambda j: F.get("w", F.col("pos") + j), n))
-        parts.append(lookup_join(h, table, "h", "inner", PREFIX_ROWS))
+        h = rows.where(F.get("w", F.col("pos") + (n - 1)).isNotNull()).select("doc_id", "tkey", "pos", near.alias("near"), at.alias("at"), _hash(lambda j: F.get("w", F.col("pos") + j), n).alias("h"))
+        parts.append(h.join(F.broadcast(table) if small else table.hint("merge"), "h"))
     return parts
 
 
@@ -71,16 +76,16 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = 13, id_col: s
     tokens = pin(one.select("win", "ww", F.explode(cut).alias("t")).select("win", "ww", "t.off", "t.h"))
 
     known = pin(tokens.select("h").distinct())
-    counts = pin(reduce(DataFrame.union, [p.select("h") for p in _probe(d, sizes, known)]).groupBy("h").agg(F.count(F.lit(1)).alias("n")))
+    counts = pin(reduce(DataFrame.union, [p.select("h") for p in _probe(d, sizes, known, window)]).groupBy("h").agg(F.count(F.lit(1)).alias("n")))
     # A window with a shingle that no document has cannot occur; of the others the rarest shingle is the prefix.
     rated = tokens.join(counts, "h", "left")
     prefix = rated.groupBy("win").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "off", "h", "ww")).alias("p")).where("p.n > 0")
     prefix = pin(prefix.groupBy("p.h").agg(F.collect_list(F.struct("win", F.col("p.off").alias("off"), F.col("p.ww").alias("ww"))).alias("wins")))
 
-    fits = F.filter("wins", lambda x: (F.col("pos") >= x["off"]) & (F.col("pos") - x["off"] + F.size(x["ww"]) <= F.size("w")))
-    same = F.filter(fits, lambda x: F.slice("w", F.col("pos") - x["off"] + 1, F.size(x["ww"])) == x["ww"])
+    fits = F.filter("wins", lambda x: (F.col("at") >= x["off"]) & (F.col("at") - x["off"] + F.size(x["ww"]) <= F.size("near")))
+    same = F.filter(fits, lambda x: F.slice("near", F.col("at") - x["off"] + 1, F.size(x["ww"])) == x["ww"])
     place = F.explode(F.transform(same, lambda x: F.struct(x["win"].alias("win"), (F.col("pos") - x["off"]).alias("first"), F.size(x["ww"]).alias("len")))).alias("f")
-    found = reduce(DataFrame.union, [p.select("doc_id", "tkey", place) for p in _probe(d, sizes, prefix)])
+    found = reduce(DataFrame.union, [p.select("doc_id", "tkey", place) for p in _probe(d, sizes, prefix, window)])
     found = pin(found.select("doc_id", "tkey", "f.*").distinct())
 
     key = F.struct("doc_id", "tkey").alias("k")
