@@ -1,6 +1,6 @@
 """Licence notices by Dice coefficient over word bigrams, in DataFrame functions only.
 
-Lines, and whole short texts, are normalised to words and compared with licence templates by 2 |A & B| / (|A| + |B|)
+Lines, and whole texts, are normalised to words and compared with licence templates by 2 |A & B| / (|A| + |B|)
 over their sets of word bigrams. A pair can only reach a threshold t if |A| and |B| are within a factor t / (2 - t),
 so templates of other sizes are pruned before anything is compared.
 """
@@ -32,8 +32,13 @@ TEMPLATES = {
 THRESHOLD = 0.8
 
 
-def _words(text: Column) -> Column:
-    return F.split(F.trim(F.lower(F.regexp_replace(text, "[^A-Za-z0-9]+", " "))), " ")
+def _lines(text: Column) -> Column:
+    """A text in lower-case words with one space between, its line breaks kept."""
+    return F.lower(F.regexp_replace(text, "[^A-Za-z0-9\n]+", " "))
+
+
+def _words(line: Column) -> Column:
+    return F.split(F.trim(line), " ")
 
 
 def _bigrams(w: Column) -> Column:
@@ -45,7 +50,7 @@ def _bigrams(w: Column) -> Column:
 def templates(spark, texts: dict[str, list[str]] | None = None) -> DataFrame:
     """(license, template, t_size, bigram) of the fixed list, or of one given."""
     rows = [(k, f"{k}#{n}", t) for k, v in (texts or TEMPLATES).items() for n, t in enumerate(v)]
-    t = spark.createDataFrame(rows, "license string, template string, t string").select("license", "template", _bigrams(_words(F.col("t"))).alias("b"))
+    t = spark.createDataFrame(rows, "license string, template string, t string").select("license", "template", _bigrams(_words(_lines(F.col("t")))).alias("b"))
     return t.select("license", "template", F.size("b").alias("t_size"), F.explode("b").alias("bigram"))
 
 
@@ -54,7 +59,7 @@ def scan(docs: DataFrame, threshold: float = THRESHOLD, texts: dict[str, list[st
     dice. Of several templates over the threshold the closest counts, then the first by name.
 
     Null, empty and one-word texts have no bigrams and match nothing; a text of one line is looked at as a line only.
-    Repeated rows of one id give a row for each line once. The templates are a list kept in code, so they are
+    Repeated rows of one id give a row for each line once, the closest. The templates are a list kept in code, so they are
     broadcast; an empty table gives no rows; other columns are ignored.
     """
     spark = docs.sparkSession
@@ -70,17 +75,18 @@ def scan(docs: DataFrame, threshold: float = THRESHOLD, texts: dict[str, list[st
             merged.append([a, b])
     fits = reduce(lambda x, y: x | y, [F.size("b").between(a, b) for a, b in merged])
     least, most = merged[0][0], merged[-1][1]
-    text = F.col(text_col)
-    d = docs.select(F.col(id_col).alias("doc_id"), text.alias("t"))
-    unit = d.select("doc_id", F.posexplode(F.split("t", "\n")).alias("line", "u")).where(F.length("u") <= 40 * most)
-    whole = d.where((F.length("t") <= 40 * most) & F.contains("t", F.lit("\n"))).select("doc_id", F.lit(-1).alias("line"), F.col("t").alias("u"))
-    # Words of a notice have at most 40 characters on average; a longer unit is out of every size bound.
-    # Exploding a one-element array keeps the optimizer from evaluating words and bigrams again for every use.
-    worded = unit.union(whole).select("doc_id", "line", F.explode(F.array(_words(F.col("u")))).alias("w")).where(F.size("w") > least)
+    # Exploding a one-element array keeps the optimizer from evaluating its expression again for every use.
+    d = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("doc_id"), F.explode(F.array(_lines(F.col(text_col)))).alias("t"))
+    # A set of n bigrams has at most n + 1 words, so a whole text of more distinct words (and the empty one between
+    # breaks) is out of every size bound before its bigrams are built.
+    few = F.size(F.array_distinct(F.split(F.translate("t", "\n", " "), " "))) <= most + 2
+    whole = F.when(F.contains("t", F.lit("\n")) & few, F.regexp_replace("t", "[ \n]+", " "))
+    unit = d.select("doc_id", F.posexplode(F.concat(F.array(whole), F.split("t", "\n"))).alias("line", "u")).where(F.col("u").isNotNull())
+    worded = unit.select("doc_id", (F.col("line") - 1).alias("line"), F.explode(F.array(_words(F.col("u")))).alias("w")).where(F.size("w") > least)
     sized = worded.select("doc_id", "line", F.explode(F.array(_bigrams(F.col("w")))).alias("b")).where(fits)
-    hits = sized.select("doc_id", "line", F.size("b").alias("size"), F.explode("b").alias("bigram")).join(F.broadcast(t), "bigram")
-    # Lines of repeated rows of an id come several times; their bigrams count once.
-    hits = hits.where((F.col("size") >= lo * F.col("t_size")) & (F.col("size") <= hi * F.col("t_size"))).groupBy("doc_id", "line", "size", "license", "template", "t_size").agg(F.count_distinct("bigram").alias("n"))
+    hits = sized.select("doc_id", "line", F.xxhash64("b").alias("unit"), F.size("b").alias("size"), F.explode("b").alias("bigram")).join(F.broadcast(t), "bigram")
+    # Equal lines of repeated rows of an id count once, different ones each for themselves.
+    hits = hits.where((F.col("size") >= lo * F.col("t_size")) & (F.col("size") <= hi * F.col("t_size"))).groupBy("doc_id", "line", "unit", "size", "license", "template", "t_size").agg(F.count_distinct("bigram").alias("n"))
     dice = (2 * F.col("n") / (F.col("size") + F.col("t_size"))).alias("dice")
     best = hits.select("doc_id", "line", "license", "template", dice).where(F.col("dice") >= threshold).groupBy("doc_id", "line").agg(F.min(F.struct((-F.col("dice")).alias("d"), "license", "template")).alias("m"))
     return best.select("doc_id", "line", "m.license", "m.template", F.round(-F.col("m.d"), 6).alias("dice"))
@@ -97,7 +103,7 @@ def _sql() -> str:
 WITH tt(license, template, t) AS (VALUES {values}),
 u AS (SELECT doc_id, CAST(unnest(range(0, len(l))) AS INTEGER) AS line, unnest(l) AS u FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)
       UNION ALL SELECT doc_id, -1, text FROM documents WHERE contains(text, chr(10))),
-w AS (SELECT doc_id, line, string_split(trim(lower(regexp_replace(u, '[^A-Za-z0-9]+', ' ', 'g'))), ' ') AS w FROM u WHERE length(u) < 5000),
+w AS (SELECT doc_id, line, string_split(trim(lower(regexp_replace(u, '[^A-Za-z0-9]+', ' ', 'g'))), ' ') AS w FROM u),
 b AS (SELECT doc_id, line, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS b FROM w WHERE len(w) > 1),
 tw AS (SELECT license, template, string_split(trim(lower(regexp_replace(t, '[^A-Za-z0-9]+', ' ', 'g'))), ' ') AS w FROM tt),
 tb AS (SELECT license, template, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS tb FROM tw),
