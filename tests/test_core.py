@@ -30,3 +30,16 @@ def test_html():
     assert s[0]["content"] == "x\n\nB\n\ny\n\nC\n\nz"
     assert html.page_rules("<h2>Eligibility</h2><ul><li>a</li></ul>", "")["eligibility"] == ["a"]
     assert html.page_rules("<h2>Eligibility</h2><p>a</p>", "")["eligibility"] == []
+
+
+def test_tables():
+    t = html.page_tables('<table><caption>Fees</caption><tr><th colspan="2">A</th><th>B</th></tr><tr><td><a href="/x">go</a></td><td><ul><li>a</li><li>b</li></ul></td><td><table><tr><td>in</td></tr></table></td></tr></table>')
+    assert (t[0]["caption"], t[0]["headers"], t[0]["n_rows"], t[0]["kind"]) == ("Fees", ["A", "", "B"], 1, "nested")
+    assert t[0]["rows"][0].split("\t")[:2] == ["go (/x)", "a; b"]
+
+
+def test_sync_actions(spark):
+    old = spark.createDataFrame([(1, 0, "h1"), (1, 1, "h2"), (1, 2, "h3")], "d int, i int, chunk_hash string")
+    new = spark.createDataFrame([(1, 0, "h1"), (1, 1, "hX")], "d int, i int, chunk_hash string")
+    got = {r.i: r.action for r in co.sync_actions(new, old, ["d", "i"]).collect()}
+    assert got == {0: "keep", 1: "update", 2: "delete"}
