@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 from .common import lookup_join, pin
 
 SHINGLE = 5
-#: Most prefix shingles that are sent to every executor; more are joined by shuffle.
-PREFIX_ROWS = 500_000
+#: Most shingles or windows, and bytes of them, that are sent to every executor; more are joined by shuffle.
+PREFIX_ROWS, PREFIX_BYTES = 500_000, 64_000_000
 _SPLIT = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -33,7 +33,13 @@ def _hash(at, size: int) -> Column:
     return F.xxhash64(F.lit(size), *[at(j) for j in range(size)])
 
 
-def _probe(docs: DataFrame, sizes: list[int], table: DataFrame, around: int) -> list[DataFrame]:
+def _is_small(table: DataFrame, rows: Column, size: Column) -> bool:
+    """Whether the counted rows and bytes of a pinned table are within the bounds of a broadcast."""
+    n, b = table.agg(F.sum(rows), F.sum(size)).first()
+    return (n or 0) <= PREFIX_ROWS and (b or 0) <= PREFIX_BYTES
+
+
+def _probe(docs: DataFrame, sizes: list[int], table: DataFrame, around: int, small: bool) -> list[DataFrame]:
     """Each shingle of a size in sizes that table has by its hash h, with its document, its place pos, and words near
     it: near, in which the shingle begins at `at`.
 
@@ -42,7 +48,6 @@ def _probe(docs: DataFrame, sizes: list[int], table: DataFrame, around: int) ->
     near is cut to `around` words before the place and as many from it on.
     """
     rows = docs.select("doc_id", "tkey", "w", F.posexplode("w").alias("pos", "word"))
-    small = table.limit(PREFIX_ROWS + 1).count() <= PREFIX_ROWS
     begin = F.greatest(F.col("pos") - around, F.lit(0))
     near, at = (F.col("w"), F.col("pos")) if small else (F.slice("w", begin + 1, F.col("pos") - begin + around), F.col("pos") - begin)
     parts = []
@@ -76,16 +81,18 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = 13, id_col: s
     tokens = pin(one.select("win", "ww", F.explode(cut).alias("t")).select("win", "ww", "t.off", "t.h"))
 
     known = pin(tokens.select("h").distinct())
-    counts = pin(reduce(DataFrame.union, [p.select("h") for p in _probe(d, sizes, known, window)]).groupBy("h").agg(F.count(F.lit(1)).alias("n")))
+    counts = pin(reduce(DataFrame.union, [p.select("h") for p in _probe(d, sizes, known, window, _is_small(known, F.lit(1), F.lit(8)))]).groupBy("h").agg(F.count(F.lit(1)).alias("n")))
     # A window with a shingle that no document has cannot occur; of the others the rarest shingle is the prefix.
     rated = tokens.join(counts, "h", "left")
     prefix = rated.groupBy("win").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "off", "h", "ww")).alias("p")).where("p.n > 0")
     prefix = pin(prefix.groupBy("p.h").agg(F.collect_list(F.struct("win", F.col("p.off").alias("off"), F.col("p.ww").alias("ww"))).alias("wins")))
 
+    small = _is_small(prefix, F.size("wins"), F.aggregate("wins", F.lit(0), lambda n, x: n + F.octet_length(F.array_join(x["ww"], " "))))
+
     fits = F.filter("wins", lambda x: (F.col("at") >= x["off"]) & (F.col("at") - x["off"] + F.size(x["ww"]) <= F.size("near")))
     same = F.filter(fits, lambda x: F.slice("near", F.col("at") - x["off"] + 1, F.size(x["ww"])) == x["ww"])
     place = F.explode(F.transform(same, lambda x: F.struct(x["win"].alias("win"), (F.col("pos") - x["off"]).alias("first"), F.size(x["ww"]).alias("len")))).alias("f")
-    found = reduce(DataFrame.union, [p.select("doc_id", "tkey", place) for p in _probe(d, sizes, prefix, window)])
+    found = reduce(DataFrame.union, [p.select("doc_id", "tkey", place) for p in _probe(d, sizes, prefix, window, small)])
     found = pin(found.select("doc_id", "tkey", "f.*").distinct())
 
     key = F.struct("doc_id", "tkey").alias("k")
@@ -104,7 +111,10 @@ def is_contaminated() -> Column:
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """The documents that are not contaminated, with the columns they had."""
+    """The documents that are not contaminated, with the columns they had.
+
+    Rows of one id go together if one of them is contaminated; rows with a null id stay, since no verdict names them.
+    """
     bad = pin(contamination(docs, items).where(is_contaminated()).select("doc_id").distinct())
     return lookup_join(docs, bad, "doc_id", "left_anti")
 

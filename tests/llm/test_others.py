@@ -85,6 +85,19 @@ def test_toxicity_learns_disguised_words(spark):
     assert toxicity.toxicity(empty(spark), none).count() == 0
 
 
+def test_toxicity_held_out_accuracy(spark):
+    """Labels the query never learns from: nearly all that it flags are toxic, and it finds most of them."""
+    sf = "/root/testdata/sf0.1"
+    labels = spark.read.parquet(f"{sf}/labels.parquet").where("toxic in (0, 1)")
+    rows = toxicity.op2(spark, sf).where("held_out").join(labels, "doc_id").select("score", "predicted", "toxic").collect()
+    flagged, toxic = [r for r in rows if r.predicted], [r for r in rows if r.toxic]
+    right = sum(r.toxic for r in flagged)
+    assert len(toxic) > 50 and right / len(flagged) >= 0.95 and right / len(toxic) >= 0.85
+    scores = np.sort([r.score for r in rows if not r.toxic])
+    below = [np.searchsorted(scores, r.score, "left") + np.searchsorted(scores, r.score, "right") for r in toxic]
+    assert np.mean(below) / (2 * len(scores)) >= 0.93
+
+
 def test_exceptions_shield_entries():
     m = toxicity.Matcher({"moron": 2.0}, ["oxy moron"])
     assert m.features("an oxy moron")[0] == 0 and m.features("a moron")[0] == 1
@@ -113,6 +126,17 @@ def test_decontamination_odd_rows(spark):
     assert decontaminate.contamination(empty(spark), items).count() == 0
 
 
+def test_decontamination_by_shuffle_equals_broadcast(spark, sf, monkeypatch):
+    docs, items = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "benchmark"))
+    rows = lambda: sorted((r.doc_id, r.n_words, r.n_hit, tuple(r["items"]), tuple(r.hits)) for r in decontaminate.contamination(docs, items).collect())
+    want = rows()
+    assert any(r[2] for r in want)
+    for bound in ("PREFIX_ROWS", "PREFIX_BYTES"):
+        with monkeypatch.context() as m:
+            m.setattr(decontaminate, bound, 0)
+            assert rows() == want, bound
+
+
 def test_shards_fit(spark):
     docs = spark.createDataFrame([(i, "x" * (i % 50), "clash") for i in range(2000)], "doc_id long, text string, bytes string")
     rows = sharding.shard(docs, 1000).selectExpr("doc_id", "length(text) as n", "shard.*").collect()
