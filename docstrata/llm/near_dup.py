@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHash, arrow_batches, connected_components, lookup_join, mix, pin, release, shingles, word_hashes
+from .common import WordHash, arrow_batches, connected_components, give_back, lookup_join, mix, pin, release, shingles, word_hashes
 
 ROWS_PER_BAND = 5
 #: Probability that banding proposes no common bucket for a pair exactly at the threshold.
@@ -84,6 +84,8 @@ def _signatures(n_hashes: int, bands: int, k: int):
                 b = (low.astype(np.uint64).reshape(bands, -1) + np.uint64(1)) * weight
                 keys.append(mix(b.sum(axis=1, dtype=np.uint64) + np.arange(bands, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64))
             yield pa.record_batch([ids, pa.array(counts, pa.int64()), pa.array(digests, pa.binary()), pa.array(sigs, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "n_shingles", "digest", "sig", "bands"])
+        cache.clear()
+        give_back()
 
     return run
 
@@ -94,6 +96,8 @@ def _sets(k: int):
         for batch in batches:
             sets = [np.unique(shingles(word_hashes(_words(t.as_py()), cache), k)).tobytes() for t in batch.column(1)]
             yield pa.record_batch([batch.column(0), pa.array(sets, pa.binary())], ["id", "shset"])
+        cache.clear()
+        give_back()
 
     return run
 
@@ -128,6 +132,7 @@ def _verify(pairs: DataFrame, sigs: DataFrame, sets: DataFrame, floor: list[tupl
                 continue
             inter = len(a) + len(b) - len(np.union1d(a, b))
             out.append(den * inter >= num * (len(a) + len(b) - inter))
+        give_back()
         return pd.Series(out, dtype=bool)
 
     def with_both(df: DataFrame, table: DataFrame, col: str) -> DataFrame:
@@ -213,6 +218,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100,
                 inter = np.add.reduceat(hit, np.concatenate(([0], np.cumsum(sizes[j])[:-1])), dtype=np.int64)
                 j = j[den * inter >= num * (sizes[j] + sizes[i] - inter)]
                 found.append(np.stack([np.minimum(ids[j], ids[i]), np.maximum(ids[j], ids[i])], axis=1))
+            del sets, sig, keys
+            give_back()
         out = np.concatenate(found) if found else np.empty((0, 2), np.int64)
         return pd.DataFrame({"a": out[:, 0], "b": out[:, 1]})
 

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_batches, byte_alphabet, lookup_join, pin
+from .common import arrow_batches, byte_alphabet, give_back, lookup_join, pin
 
 MAX_TOKENS = 2048
 #: Coarse lengths of the fit.
@@ -85,6 +85,9 @@ def _pieces(path: str, max_tokens: int, with_ids: bool):
                     part = tokens[at : at + max_tokens]
                     doc.append(d.as_py()), piece.append(n), start.append(at), length.append(len(part)), crc.append(zlib.crc32(part.tobytes())), ids.append(part.astype(np.int32) if with_ids else None)
             yield pa.record_batch([pa.array(doc, pa.int64()), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64()), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "piece", "start", "length", "ids_crc32", "ids"])
+        encode.cache.clear()
+        del encode
+        give_back()
 
     return run
 

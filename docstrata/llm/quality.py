@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import arrow_batches, lookup_join, pin
+from .common import arrow_batches, give_back, lookup_join, pin
 from .toxicity import bounded_sample, logistic
 
 #: Most labelled documents the text model is fitted on.
@@ -54,6 +54,7 @@ def _evidence(b: np.ndarray):
         for text in batches:
             x = np.array([measures(t or "") for t in text], float).reshape(-1, len(MEASURES))
             yield pd.Series(np.clip(b[0] + x @ b[1:], -12, 12))
+        give_back()
 
     return f
 

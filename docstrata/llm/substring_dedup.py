@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, WordHash, arrow_batches, lookup_join, mix, pin, release, word_hashes
+from .common import BROADCAST_ROWS, WordHash, arrow_batches, give_back, lookup_join, mix, pin, release, word_hashes
 
 #: Words hashed together in one batch of a task, and words a bucket receives.
 BATCH_WORDS, BUCKET_WORDS = 400_000, 1_000_000
@@ -114,6 +114,9 @@ def _exchange(flush: Callable, texts: DataFrame, resolve: Callable, kind, extra:
         if batch.words:
             batch.close()
             yield flush(batch)
+        cache.clear()
+        del batch
+        give_back()
 
     def at_bucket(pdf: pd.DataFrame) -> pd.DataFrame:
         known = pdf.loc[pdf["kind"] < 2, ["batch", "kind", "blob"]]
@@ -137,6 +140,8 @@ def _exchange(flush: Callable, texts: DataFrame, resolve: Callable, kind, extra:
         order = np.argsort(name, kind="stable")
         name, place = name[order], place[order]
         cut = _runs(name)
+        del h, order, hit
+        give_back()
         found = pd.DataFrame({"batch": name[cut], "kind": 1, "blob": pd.Series([x.tobytes() for x in np.split(place, cut[1:])] if len(cut) else [], dtype=object)})
         return pd.concat([known, found.astype({"kind": "int32"})], ignore_index=True)
 
