@@ -243,6 +243,13 @@ _EDGES = "SELECT o_custkey % 400 AS src, (o_orderkey * 7) % 400 AS dst FROM orde
 _sql("link_frontier_anti", f"SELECT src, dst FROM (SELECT src, dst, row_number() OVER (PARTITION BY src ORDER BY dst) AS rn FROM (SELECT DISTINCT src, dst FROM ({_EDGES})) WHERE dst NOT IN (SELECT c_custkey % 400 FROM customer WHERE c_custkey % 3 = 0)) WHERE rn <= 5", lambda s, sf: (register(s, sf), co.frontier(s.sql(_EDGES), s.sql("SELECT c_custkey % 400 AS dst FROM customer WHERE c_custkey % 3 = 0"), ["dst"], 5).select("src", "dst"))[1])
 _sql("bfs_depth3", f"WITH RECURSIVE e AS ({_EDGES}), r(node, depth) AS (SELECT 1::BIGINT, 0 UNION SELECT e.dst, r.depth + 1 FROM r JOIN e ON e.src = r.node WHERE r.depth < 3) SELECT node, min(depth) AS depth FROM r GROUP BY 1", lambda s, sf: (register(s, sf), co.bfs(s.sql(_EDGES), s.sql("SELECT 1L AS node")))[1])
 
+# The same operators over every order: customer pages link to the pages of their orders, whose numbers are page numbers too.
+_ALL_EDGES = "SELECT o_custkey AS src, o_orderkey AS dst FROM orders"
+_CRAWLED = "SELECT o_orderkey AS dst FROM orders WHERE o_orderstatus = 'F'"
+_SEEDS = "SELECT c_custkey AS node FROM customer WHERE c_nationkey = 1"
+_sql("link_frontier_all_orders", f"SELECT src, dst FROM (SELECT src, dst, row_number() OVER (PARTITION BY src ORDER BY dst) AS rn FROM (SELECT DISTINCT src, dst FROM ({_ALL_EDGES})) WHERE dst NOT IN ({_CRAWLED})) WHERE rn <= 50", lambda s, sf: (register(s, sf), co.frontier(s.sql(_ALL_EDGES), s.sql(_CRAWLED), ["dst"]).select("src", "dst"))[1])
+_sql("bfs_depth3_all_orders", f"WITH RECURSIVE e AS ({_ALL_EDGES}), r(node, depth) AS (SELECT node, 0 FROM ({_SEEDS}) UNION SELECT e.dst, r.depth + 1 FROM r JOIN e ON e.src = r.node WHERE r.depth < 3) SELECT node, min(depth) AS depth FROM r GROUP BY 1", lambda s, sf: (register(s, sf), co.bfs(s.sql(_ALL_EDGES), s.sql(_SEEDS)))[1])
+
 
 @query("domain_rate_schedule", "crawl_pages", sql="SELECT page_id, CAST(floor((row_number() OVER (PARTITION BY source_id ORDER BY crawled_at, page_id) - 1) / 5) * 60 AS BIGINT) AS start_s FROM crawl_pages")
 def _(p):
