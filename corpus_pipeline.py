@@ -29,7 +29,7 @@ def substring_dedup(spark, docs, sf_dir: str):
 
 
 def benchmark_decontamination(spark, docs, sf_dir: str):
-    """Documents that hold no substantial part of a benchmark item."""
+    """Documents that are no substantial part benchmark items, without the words of any that they hold."""
     return drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 

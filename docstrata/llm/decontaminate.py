@@ -19,6 +19,8 @@ SHINGLE = 5
 #: Most shingles or windows, and bytes of them, that are sent to every executor; more are joined by shuffle.
 PREFIX_ROWS, PREFIX_BYTES = 500_000, 64_000_000
 _SPLIT = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: The characters between words, of either case.
+_BETWEEN = r"\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -110,13 +112,56 @@ def is_contaminated() -> Column:
     return (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))
 
 
+def _hits(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """doc_id, text_key, n_words, n_hit, hits of the different rows of docs that have hit words."""
+    keyed = docs.select(F.struct("doc_id", _text_key()).alias("doc_id"), "text")
+    return pin(contamination(keyed, items).where("n_hit > 0").select("doc_id.*", "n_words", "n_hit", "hits").distinct())
+
+
+def _text_key() -> Column:
+    return F.xxhash64("doc_id", "text").alias("text_key")
+
+
+def _without(text: Column, hits: Column) -> Column:
+    """A text without the words at the places hits (sorted, from 0) and the separators before them."""
+    parts = F.regexp_extract_all(text, F.lit(f"[{_BETWEEN}]*+[^{_BETWEEN}]++|[{_BETWEEN}]++"), F.lit(0))
+    first = F.filter(hits, lambda h, i: F.coalesce(F.get(hits, i - 1) != h - 1, F.lit(True)))
+    last = F.filter(hits, lambda h, i: F.coalesce(F.get(hits, i + 1) != h + 1, F.lit(True)))
+    s = F.struct(parts.alias("parts"), F.concat(F.array(F.lit(0)), F.transform(last, lambda h: h + 1)).alias("begin"), F.concat(first, F.array(F.size(parts))).alias("end"))
+    kept = F.transform(F.array(s), lambda x: F.flatten(F.transform(x["begin"], lambda b, i: F.slice(x["parts"], b + 1, F.greatest(F.get(x["end"], i) - b, F.lit(0))))))
+    return F.array_join(F.get(kept, F.lit(0)), "")
+
+
+def _cut(docs: DataFrame, found: DataFrame, how: str) -> DataFrame:
+    """docs without the words that found has as hits; n_chars follows a changed text. how is that of the join."""
+    small = _is_small(found, F.lit(1), 4 * F.size("hits"))
+    table = found.select("text_key", F.col("hits").alias("__hits"))
+    rows = lookup_join(docs.withColumn("text_key", _text_key()), table, "text_key", how, limit=PREFIX_ROWS if small else 0)
+    text = F.when(F.col("__hits").isNull(), F.col("text")).otherwise(_without(F.col("text"), F.col("__hits")))
+    rows = rows.select(*[text.alias(c) if c == "text" else F.col(c) for c in docs.columns], F.col("__hits").isNotNull().alias("__changed"))
+    if "n_chars" in docs.columns:
+        rows = rows.withColumn("n_chars", F.when(F.col("__changed"), F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
+    return pin(rows.select(*docs.columns))
+
+
 def drop_contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """The documents that are not contaminated, with the columns they had.
+    """The documents that are not contaminated, with the columns they had, free of benchmark windows.
 
     Rows of one id go together if one of them is contaminated; rows with a null id stay, since no verdict names them.
+    Rows that stay lose their hit words, whatever their share, and n_chars follows; as what is left may close up to a
+    window, cut rows are looked at again until none has a hit. Rows without hits are unchanged.
     """
-    bad = pin(contamination(docs, items).where(is_contaminated()).select("doc_id").distinct())
-    return lookup_join(docs, bad, "doc_id", "left_anti")
+    found = _hits(docs, items)
+    bad = pin(found.where(is_contaminated()).select("doc_id").distinct())
+    kept = lookup_join(docs, bad, "doc_id", "left_anti")
+    found = pin(lookup_join(found, bad, "doc_id", "left_anti"))
+    if found.isEmpty():
+        return kept
+    cut = _cut(kept, found, "inner")
+    while not (more := _hits(cut, items)).isEmpty():
+        cut = _cut(cut, more, "left")
+    clean = lookup_join(kept.withColumn("text_key", _text_key()), found.select("text_key"), "text_key", "left_anti")
+    return clean.select(*docs.columns).unionByName(cut)
 
 
 def op3(spark, sf_dir: str) -> DataFrame:
