@@ -9,6 +9,7 @@ NOW = "TIMESTAMP '2024-01-31 00:00:00'"
 VIEWS = {
     "kb_documents": "SELECT doc_id AS id, text AS content, source AS folder_id, lang AS language, CASE WHEN doc_id % 3 = 0 THEN 'gov_crawled' ELSE 'user_created' END AS document_type, doc_id % 7 AS user_id FROM documents",
     "chunks": "SELECT vec_id AS chunk_id, vec_id % 200 AS document_id, vec_id AS chunk_index, embedding, label FROM embeddings",
+    "chunks_by_doc": "SELECT vec_id AS chunk_id, vec_id % (SELECT count(*) FROM documents) AS document_id, vec_id AS chunk_index, embedding, label FROM embeddings",
     "metrics": "SELECT event_id AS id, CAST(ts AS TIMESTAMP) AS ts, CASE event_type WHEN 'error' THEN 'failed' WHEN 'view' THEN 'skipped' ELSE 'success' END AS status, value * 10 AS duration_ms, user_id AS source_id FROM events",
     "queue": "SELECT event_id AS id, user_id AS document_id, CAST(ts AS TIMESTAMP) AS created_at, CASE event_type WHEN 'click' THEN 'pending' WHEN 'view' THEN 'completed' WHEN 'purchase' THEN 'completed' WHEN 'signup' THEN 'processing' ELSE 'failed' END AS status, CASE user_id % 3 WHEN 0 THEN 'high' WHEN 1 THEN 'normal' ELSE 'low' END AS priority, CAST(user_id % 4 AS INT) AS attempts, CASE WHEN event_type IN ('view', 'purchase') AND user_id % 11 <> 0 THEN CAST(ts AS TIMESTAMP) END AS processed_at, CASE user_id % 5 WHEN 0 THEN 'timeout' WHEN 1 THEN 'E5 API error (502)' WHEN 2 THEN 'fetch failed' ELSE 'bad input' END AS message FROM events",
     "sources": "SELECT c_custkey AS source_id, c_name AS name, c_mktsegment AS kind FROM customer",

@@ -130,6 +130,18 @@ def _(c):
     return mo.chunk_stats(c)
 
 
+def _all_docs(name: str, build, sql: str, *tables: str) -> None:
+    """A query of chunks again over chunks dealt to all documents."""
+    query(f"{name}_all_docs", "chunks_by_doc", *tables, sql=sql.replace("chunks", "chunks_by_doc"))(build)
+
+
+_all_docs("vector_topk_small", lambda c, d: _rounded(se.vector_search(c, d, _one(c), 0.1, 10, when_null="all")), _vector("true", 0.1, 10), "kb_documents")
+_all_docs("vector_topk_coarse_visibility", lambda c, d: _rounded(se.vector_search(c, d, _one(c), 0.05, 20)), _vector("d.document_type = 'gov_crawled'", 0.05, 20), "kb_documents")
+_all_docs("vector_topk_user_folders", lambda c, d: _rounded(se.vector_search(c, d, _one(c), 0.0, 20, 3, ["src0", "src1"])), _vector("(d.document_type = 'gov_crawled' OR d.user_id = 3) AND d.folder_id IN ('src0', 'src1')", 0.0, 20), "kb_documents")
+_all_docs("vector_rerank_two_stage", lambda c, d: _rounded(se.two_stage(c, d, _one(c, 2), 50, 5, when_null="all")), _vector("true", 0.0, 5, 2), "kb_documents")
+_all_docs("chunk_stats_by_doc", mo.chunk_stats, "SELECT document_id, count(*) AS chunk_count, count(embedding) AS embedded, round(avg(chunk_index), 6) AS avg_index FROM chunks GROUP BY 1")
+
+
 _CACHE = "SELECT c_nationkey * 10 + c_custkey % 7 AS query_key, count(*) - 25 AS hit_count, max(c_custkey) AS last_used FROM customer GROUP BY 1"
 
 
@@ -233,6 +245,10 @@ def _sql(name: str, sql: str, spark_sql: Callable):
 
 _sql("sitemap_diff", f"SELECT url, CASE WHEN status IS NULL THEN true WHEN status = 'failed' THEN last_crawled_at <= {NOW} - INTERVAL 24 HOURS WHEN lastmod IS NOT NULL AND sitemap_lastmod IS NOT NULL THEN lastmod > sitemap_lastmod ELSE true END AS take FROM ({_ENTRIES}) LEFT JOIN ({_PAGES}) USING (url)", lambda s, sf: (register(s, sf), co.sitemap_diff(s.sql(_ENTRIES), s.sql(_PAGES), now()))[1])
 
+# The same over every order; a url's entries are the dates of its order and of the order's lines.
+_ALL_ENTRIES = "SELECT url, max(day) AS lastmod FROM (SELECT 'u' || o_orderkey AS url, CAST(o_orderdate AS TIMESTAMP) AS day FROM orders UNION ALL SELECT 'u' || l_orderkey, CAST(l_shipdate AS TIMESTAMP) FROM lineitem) GROUP BY 1"
+_sql("sitemap_diff_all_orders", ORACLE_SQL["sitemap_diff"].replace(_ENTRIES, _ALL_ENTRIES), lambda s, sf: (register(s, sf), co.sitemap_diff(s.sql(_ALL_ENTRIES), s.sql(_PAGES), now()))[1])
+
 
 @query("expired_url_filter", "pages", sql=f"SELECT page_id, url FROM pages WHERE NOT regexp_matches(url, '{tx.EXPIRED}')")
 def _(p):
