@@ -12,6 +12,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import lookup_join, pin
+
 #: Notices as published by the licences' authors; fixed values.
 TEMPLATES = {
     "AGPL-3.0": ["This work is licensed under the GNU Affero General Public License, version 3.", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."],
@@ -92,10 +94,47 @@ def scan(docs: DataFrame, threshold: float = THRESHOLD, texts: dict[str, list[st
     return best.select("doc_id", "line", "m.license", "m.template", F.round(-F.col("m.d"), 6).alias("dice"))
 
 
+def runs(docs: DataFrame, threshold: float = THRESHOLD, texts: dict[str, list[str]] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """For each line the closest run of two or more lines from there on that is a notice: doc_id, line (the first),
+    n_lines, license, template, dice.
+
+    Lines without words (blank, or of comment marks only) are passed over and not counted. A run has at most as many
+    words as the largest template allows bigrams, and one. A run at a threshold shares at least t / (2 - t) of its
+    template's bigrams, so only documents that have so many are cut into runs. Null and wordless texts match nothing.
+    """
+    t = templates(docs.sparkSession, texts)
+    lo, hi = threshold / (2 - threshold), (2 - threshold) / threshold
+    cap = _most_words(threshold, t.agg(F.max("t_size")).first()[0])
+    d = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("doc_id"), F.xxhash64(id_col, text_col).alias("tkey"), F.explode(F.array(_lines(F.col(text_col)))).alias("t"))
+    every = d.select("tkey", F.explode(F.array(_words(F.regexp_replace("t", "[ \n]+", " ")))).alias("w")).select("tkey", F.explode(_bigrams(F.col("w"))).alias("bigram"))
+    shared = every.join(F.broadcast(t), "bigram").groupBy("tkey", "template", "t_size").agg(F.count_distinct("bigram").alias("n"))
+    able = pin(shared.where(F.col("n") >= lo * F.col("t_size")).select("tkey").distinct())
+    split = F.transform(F.split("t", "\n"), lambda x, i: F.struct(i.alias("line"), F.filter(F.split(x, " "), lambda w: w != "").alias("w")))
+    lines = lookup_join(d, able, "tkey", "left_semi").select("doc_id", "tkey", F.explode(F.array(F.filter(split, lambda x: F.size(x["w"]) > 0))).alias("ls"))
+    start = lines.select("doc_id", "tkey", "ls", F.explode(F.sequence(F.lit(1), F.greatest(F.size("ls"), F.lit(1)))).alias("i")).select("doc_id", "tkey", F.explode(F.array(F.slice("ls", F.col("i"), cap))).alias("ls")).where(F.size("ls") > 1)
+    counts = F.transform("ls", lambda x: F.size(x["w"]))
+    lengths = F.filter(F.sequence(F.lit(2), F.size("ls")), lambda n: F.aggregate(F.slice(counts, 1, n), F.lit(0), lambda s, x: s + x) <= cap)
+    run = start.select("doc_id", "tkey", "ls", F.explode(lengths).alias("n_lines"))
+    sized = run.select("doc_id", "tkey", F.col("ls")[0]["line"].alias("line"), "n_lines", F.explode(F.array(_bigrams(F.flatten(F.transform(F.slice("ls", F.lit(1), F.col("n_lines")), lambda x: x["w"]))))).alias("b"))
+    hits = sized.select("doc_id", "tkey", "line", "n_lines", F.size("b").alias("size"), F.explode("b").alias("bigram")).join(F.broadcast(t), "bigram")
+    hits = hits.where((F.col("size") >= lo * F.col("t_size")) & (F.col("size") <= hi * F.col("t_size"))).groupBy("doc_id", "tkey", "line", "n_lines", "size", "license", "template", "t_size").agg(F.count_distinct("bigram").alias("n"))
+    dice = (2 * F.col("n") / (F.col("size") + F.col("t_size"))).alias("dice")
+    best = hits.select("doc_id", "line", "n_lines", "license", "template", dice).where(F.col("dice") >= threshold).groupBy("doc_id", "line").agg(F.min(F.struct((-F.col("dice")).alias("d"), "license", "template", "n_lines")).alias("m"))
+    return best.select("doc_id", "line", "m.n_lines", "m.license", "m.template", F.round(-F.col("m.d"), 6).alias("dice"))
+
+
+def _most_words(threshold: float, largest: int) -> int:
+    return int(largest * (2 - threshold) / threshold) + 1
+
+
 def op10(spark, sf_dir: str) -> DataFrame:
     return scan(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
+def op10_runs(spark, sf_dir: str) -> DataFrame:
+    return runs(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
 def _sql() -> str:
     lo, hi = THRESHOLD / (2 - THRESHOLD), (2 - THRESHOLD) / THRESHOLD
     values = ", ".join("('{}', '{}', '{}')".format(k, f"{k}#{n}", t.replace("'", "''")) for k, v in TEMPLATES.items() for n, t in enumerate(v))
@@ -114,3 +153,19 @@ SELECT doc_id, line, license, template, round(dice, 6) AS dice FROM r WHERE rn =
 
 
 OP10_SQL = _sql()
+
+
+def _runs_sql() -> str:
+    words = lambda c: f"list_filter(string_split(lower(regexp_replace({c}, '[^A-Za-z0-9]+', ' ', 'g')), ' '), lambda y: y <> '')"
+    norm = lambda t: "".join(x if x.isascii() and x.isalnum() else " " for x in t).lower().split()
+    cap = _most_words(THRESHOLD, max(len(set(zip(w, w[1:]))) for v in TEMPLATES.values() for w in map(norm, v)))
+    head, tail = OP10_SQL.index("u AS ("), OP10_SQL.index("b AS (")
+    sql = OP10_SQL[:head] + f"""x AS (SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda s, i: {{'line': i - 1, 'w': {words('s')}}}), lambda s: len(s.w) > 0) AS ls FROM documents WHERE text IS NOT NULL),
+s AS (SELECT doc_id, ls[i:i + {cap} - 1] AS ls FROM (SELECT doc_id, ls, unnest(range(1, len(ls))) AS i FROM x)),
+r0 AS (SELECT doc_id, CAST(ls[1].line AS INTEGER) AS line, ls, CAST(unnest(range(2, len(ls) + 1)) AS INTEGER) AS n_lines FROM s),
+w AS (SELECT doc_id, line, n_lines, flatten(list_transform(ls[1:n_lines], lambda z: z.w)) AS w FROM r0 WHERE list_sum(list_transform(ls[1:n_lines], lambda z: len(z.w))) <= {cap}),
+""" + OP10_SQL[tail:]
+    return sql.replace("doc_id, line, list_distinct", "doc_id, line, n_lines, list_distinct").replace("doc_id, line, license, template", "doc_id, line, n_lines, license, template").replace("dice DESC, license, template", "dice DESC, license, template, n_lines")
+
+
+OP10_RUNS_SQL = _runs_sql()
