@@ -39,7 +39,7 @@ def vector_search(chunks: DataFrame, docs: DataFrame, query: list[float] | DataF
 
 
 def two_stage(chunks: DataFrame, docs: DataFrame, query: DataFrame, k_coarse: int, k: int, **where) -> DataFrame:
-    """Coarse candidates by vector, rescored exactly and cut to k."""
+    """The k best of k_coarse candidates by the same exact similarity; there is no second score."""
     first = vector_search(chunks, docs, query, 0.0, k_coarse, **where)
     return first.orderBy(F.desc("similarity"), "chunk_id").limit(k)
 
