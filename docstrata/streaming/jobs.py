@@ -1,4 +1,4 @@
-"""Structured Streaming forms: daily windows, the embedding queue's drain, per-domain pacing."""
+"""Structured Streaming forms: daily windows, the embedding queue's drain. Pacing by domain is batch only (operators.corpus.schedule)."""
 
 from __future__ import annotations
 
