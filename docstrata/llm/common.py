@@ -13,9 +13,10 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-#: Most rows of a lookup side that is sent to every executor; larger ones are joined by shuffle.
-BROADCAST_ROWS = 500_000
+#: Most rows, and bytes of them, of a lookup side that is sent to every executor; larger ones are joined by shuffle.
+BROADCAST_ROWS, BROADCAST_BYTES = 500_000, 64_000_000
 #: Entries kept by a worker's word caches before they are emptied.
 CACHE_ENTRIES = 300_000
 #: Odd multipliers that order the words of a shingle.
@@ -23,23 +24,62 @@ _MULT = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A folder that every executor reaches: spark.checkpoint.dir, or a temporary one where it is unset (tests)."""
+    """A folder that every executor reaches: spark.checkpoint.dir. Where it is unset a local master (tests) gets a
+    temporary one; on a cluster that is an error, since executors do not share their local folders."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="docstrata-")
         atexit.register(shutil.rmtree, base, True)
         spark.sparkContext.setCheckpointDir(base)
     return base
 
 
+#: Folders of this driver's tables, by session, which go when the driver ends.
+_written: dict[SparkSession, list[str]] = {}
+
+
 def pin(df: DataFrame, partitions: int | None = None) -> DataFrame:
-    """Write df as a table in the shared folder and read it back: cuts the lineage and survives lost executors."""
+    """Write df as a table in the shared folder and read it back: cuts the lineage and survives lost executors.
+
+    The table goes with unpin(), or when the driver ends.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}-{uuid.uuid4().hex}"
+    _written.setdefault(spark, []).append(path)
     if partitions:
         df = df.coalesce(partitions)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._pinned_at = path
+    return out
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
+    _written[spark].remove(path)
+
+
+def unpin(*tables: DataFrame) -> None:
+    """Delete pinned tables that no result reads any more."""
+    for t in tables:
+        _delete(t.sparkSession, t._pinned_at)
+
+
+@atexit.register
+def _clean() -> None:
+    for spark, paths in _written.items():
+        if spark.sparkContext._jsc is not None:  # else the session was stopped, and its tables stay
+            for path in list(paths):
+                _delete(spark, path)
+
+
+def free_name(taken: list[str], name: str) -> str:
+    """name, or name with the first number from 2 on that makes it no column of taken (case is ignored)."""
+    low = {c.lower() for c in taken}
+    return next(x for x in (name, *(f"{name}_{n}" for n in range(2, len(low) + 3))) if x.lower() not in low)
 
 
 def release(spark: SparkSession) -> None:
@@ -50,10 +90,32 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def _width(table: DataFrame):
+    """Bytes of a row: 8 of a plain value, else what the value holds."""
+    def of(c, t):
+        if isinstance(t, (T.StringType, T.BinaryType)):
+            return F.coalesce(F.octet_length(c), F.lit(0))
+        if isinstance(t, T.ArrayType):
+            if isinstance(t.elementType, (T.NumericType, T.BooleanType)):
+                return 8 * F.coalesce(F.size(c), F.lit(0))
+            return F.aggregate(F.coalesce(c, F.array()), F.lit(0), lambda s, x: (s + of(x, t.elementType)).cast("int"))
+        if isinstance(t, T.StructType):
+            return sum((F.coalesce(of(c[f.name], f.dataType), F.lit(0)) for f in t.fields), F.lit(0))
+        return F.lit(8)
+
+    return sum((of(F.col(f.name), f.dataType) for f in table.schema.fields), F.lit(0)).cast("long")
+
+
+def is_small(table: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> bool:
+    """Whether a pinned table has no more rows and bytes than the bounds of a broadcast, by counting them."""
+    n, b = table.select(_width(table).alias("w")).limit(rows + 1).agg(F.count(F.lit(1)), F.sum("w")).first()
+    return n <= rows and (b or 0) <= size
+
+
 def lookup_join(left: DataFrame, table: DataFrame, on, how: str = "left", limit: int = BROADCAST_ROWS) -> DataFrame:
-    """Join with a table of unique keys. It is broadcast only if a count proves it small; else both sides are
-    shuffled and adaptive execution splits hot keys. The table must be cheap to count (pinned)."""
-    small = table.limit(limit + 1).count() <= limit
+    """Join with a table of unique keys. It is broadcast only if its rows and bytes are counted to be few; else both
+    sides are shuffled and adaptive execution splits hot keys. The table must be cheap to count (pinned)."""
+    small = limit > 0 and is_small(table, limit)
     return left.join(F.broadcast(table) if small else table.hint("merge"), on, how)
 
 
@@ -133,6 +195,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
         large = both.where("v > u").join(send(low), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         down = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(send(down), "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(down.select("u", F.col("m").alias("v")))
-        e = pin(small.where("u <> v").distinct())
+        e, old = pin(small.where("u <> v").distinct()), e
+        unpin(old)
     heads = e.select(F.col("u").alias("node"), F.col("v").alias("component"))
     return heads.union(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

@@ -13,14 +13,16 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import lookup_join, pin
+from .common import free_name, is_small, lookup_join, pin, unpin
 
 SHINGLE = 5
-#: Most shingles or windows, and bytes of them, that are sent to every executor; more are joined by shuffle.
+#: Most shingles, and bytes of them, that are sent to every executor; more are joined by shuffle.
 PREFIX_ROWS, PREFIX_BYTES = 500_000, 64_000_000
 _SPLIT = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: The characters between words, of either case.
 _BETWEEN = r"\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F"
+#: A word, of either case.
+_WORD = f"[^{_BETWEEN}]+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -35,28 +37,21 @@ def _hash(at, size: int) -> Column:
     return F.xxhash64(F.lit(size), *[at(j) for j in range(size)])
 
 
-def _is_small(table: DataFrame, rows: Column, size: Column) -> bool:
-    """Whether the counted rows and bytes of a pinned table are within the bounds of a broadcast."""
-    n, b = table.agg(F.sum(rows), F.sum(size)).first()
-    return (n or 0) <= PREFIX_ROWS and (b or 0) <= PREFIX_BYTES
+def _matches(docs: DataFrame, sizes: list[int], known: DataFrame, around: int, small: bool) -> DataFrame:
+    """Each shingle of a size in sizes that known has by its hash h, with its document (tkey) and place pos, from one
+    pass over the texts.
 
-
-def _probe(docs: DataFrame, sizes: list[int], table: DataFrame, around: int, small: bool) -> list[DataFrame]:
-    """Each shingle of a size in sizes that table has by its hash h, with its document, its place pos, and words near
-    it: near, in which the shingle begins at `at`.
-
-    A small table is broadcast and near is the whole text, which no row copies: the join comes before the union, so
-    words are dropped while rows still stream through one generated loop. For a larger table rows are shuffled, so
-    near is cut to `around` words before the place and as many from it on.
+    Where known is broadcast, rows also carry the words near them, in which the shingle begins at `at`: `around` before
+    the place and as many from it on, cut out after the join. Where it is too large for that, all places of all
+    documents are shuffled, so they carry nothing but their hash.
     """
-    rows = docs.select("doc_id", "tkey", "w", F.posexplode("w").alias("pos", "word"))
+    rows = docs.select("tkey", "w", F.posexplode("w").alias("pos", "word"))
+    one = [F.when(F.get("w", F.col("pos") + (n - 1)).isNotNull(), _hash(lambda j: F.get("w", F.col("pos") + j), n)) for n in sizes]
+    rows = rows.withColumn("h", one[0] if len(one) == 1 else F.explode(F.array(*one))).where("h is not null")
+    if not small:
+        return pin(rows.select("tkey", "pos", "h").join(known.hint("merge"), "h"))
     begin = F.greatest(F.col("pos") - around, F.lit(0))
-    near, at = (F.col("w"), F.col("pos")) if small else (F.slice("w", begin + 1, F.col("pos") - begin + around), F.col("pos") - begin)
-    parts = []
-    for n in sizes:
-        h = rows.where(F.get("w", F.col("pos") + (n - 1)).isNotNull()).select("doc_id", "tkey", "pos", near.alias("near"), at.alias("at"), _hash(lambda j: F.get("w", F.col("pos") + j), n).alias("h"))
-        parts.append(h.join(F.broadcast(table) if small else table.hint("merge"), "h"))
-    return parts
+    return pin(rows.join(F.broadcast(known), "h").select("tkey", "pos", "h", F.slice("w", begin + 1, F.col("pos") - begin + around).alias("near"), (F.col("pos") - begin).alias("at")))
 
 
 def contamination(docs: DataFrame, items: DataFrame, window: int = 13, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
@@ -68,7 +63,8 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = 13, id_col: s
     window; null item ids are left out of items, though their windows hit. Repeated rows each get a row. Empty tables
     give no rows, or rows without hits. Other columns are ignored.
     """
-    d = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(id_col, text_col).alias("tkey"), words(F.col(text_col)).alias("w"))
+    d = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(id_col, text_col).alias("tkey"), F.col(text_col).alias("text"))
+    worded = d.select("tkey", words(F.col("text")).alias("w"))
     it = items.select(F.col(item_col).cast("string").alias("item"), words(F.col(item_text)).alias("iw")).where(F.size("iw") > 0)
     length = F.least(F.size("iw"), F.lit(window))
     spans = it.select("item", F.explode(F.transform(F.sequence(F.lit(1), F.size("iw") - length + 1), lambda i: F.slice("iw", i, length))).alias("ww"))
@@ -76,34 +72,44 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = 13, id_col: s
     # Windows of fewer words than a shingle have one shingle, all their words.
     one = by_window.select("win", "ww").distinct().withColumn("size", F.least(F.size("ww"), F.lit(SHINGLE)))
     sizes = sorted(r[0] for r in one.select("size").distinct().collect())  # at most SHINGLE values
+    n_words = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(_WORD)).cast("long").alias("n_words")
     if not sizes:
-        none = F.lit(None).cast("array<string>")
-        return d.select("doc_id", F.size("w").cast("long").alias("n_words"), F.lit(0).cast("long").alias("n_hit"), F.coalesce(none, F.array()).alias("items"), F.array().cast("array<int>").alias("hits"))
+        return d.select("doc_id", n_words, F.lit(0).cast("long").alias("n_hit"), F.array().cast("array<string>").alias("items"), F.array().cast("array<int>").alias("hits"))
     cut = reduce(lambda c, n: c.when(F.col("size") == n, F.transform(F.sequence(F.lit(0), F.size("ww") - n), lambda i: F.struct(i.alias("off"), _hash(lambda j: F.get("ww", i + j), n).alias("h")))), sizes, F)
     tokens = pin(one.select("win", "ww", F.explode(cut).alias("t")).select("win", "ww", "t.off", "t.h"))
 
     known = pin(tokens.select("h").distinct())
-    counts = pin(reduce(DataFrame.union, [p.select("h") for p in _probe(d, sizes, known, window, _is_small(known, F.lit(1), F.lit(8)))]).groupBy("h").agg(F.count(F.lit(1)).alias("n")))
+    small = is_small(known, PREFIX_ROWS, PREFIX_BYTES)
+    met = _matches(worded, sizes, known, window, small)
+    counts = pin(met.groupBy("h").agg(F.count(F.lit(1)).alias("n")))
     # A window with a shingle that no document has cannot occur; of the others the rarest shingle is the prefix.
     rated = tokens.join(counts, "h", "left")
     prefix = rated.groupBy("win").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "off", "h", "ww")).alias("p")).where("p.n > 0")
-    prefix = pin(prefix.groupBy("p.h").agg(F.collect_list(F.struct("win", F.col("p.off").alias("off"), F.col("p.ww").alias("ww"))).alias("wins")))
-
-    small = _is_small(prefix, F.size("wins"), F.aggregate("wins", F.lit(0), lambda n, x: n + F.octet_length(F.array_join(x["ww"], " "))))
-
-    fits = F.filter("wins", lambda x: (F.col("at") >= x["off"]) & (F.col("at") - x["off"] + F.size(x["ww"]) <= F.size("near")))
-    same = F.filter(fits, lambda x: F.slice("near", F.col("at") - x["off"] + 1, F.size(x["ww"])) == x["ww"])
-    place = F.explode(F.transform(same, lambda x: F.struct(x["win"].alias("win"), (F.col("pos") - x["off"]).alias("first"), F.size(x["ww"]).alias("len")))).alias("f")
-    found = reduce(DataFrame.union, [p.select("doc_id", "tkey", place) for p in _probe(d, sizes, prefix, window, small)])
-    found = pin(found.select("doc_id", "tkey", "f.*").distinct())
-
-    key = F.struct("doc_id", "tkey").alias("k")
-    hit = found.select(key, F.explode(F.sequence(F.col("first"), F.col("first") + F.col("len") - 1)).alias("p")).distinct()
-    hit = hit.groupBy("k").agg(F.count(F.lit(1)).alias("n_hit"), F.sort_array(F.collect_list("p")).alias("hits"))
-    which = lookup_join(found.select(key, "win").distinct(), by_window.groupBy("win").agg(F.collect_set("item").alias("of")), "win", "inner")
-    which = which.groupBy("k").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("of")))).alias("items"))
-    verdict = pin(hit.join(which, "k", "left").select(F.col("k.doc_id").alias("v_doc"), F.col("k.tkey").alias("tkey"), "n_hit", "hits", "items"))
-    out = lookup_join(d.select("doc_id", "tkey", F.size("w").cast("long").alias("n_words")), verdict.drop("v_doc"), "tkey", "left")
+    prefix = pin(prefix.select("win", F.col("p.h").alias("h"), F.col("p.off").alias("off"), F.col("p.ww").alias("ww"), F.size("p.ww").alias("len")))
+
+    probes = met.join(F.broadcast(prefix) if is_small(prefix, PREFIX_ROWS, PREFIX_BYTES) else prefix.hint("merge"), "h").withColumn("first", F.col("pos") - F.col("off")).where("first >= 0")
+    if small:
+        # The words near a place reach at least as far as the window; a document that ends before it has fewer.
+        fits = (F.col("at") >= F.col("off")) & (F.col("at") - F.col("off") + F.col("len") <= F.size("near"))
+        found = probes.where(fits).where(F.slice("near", F.col("at") - F.col("off") + 1, F.col("len")) == F.col("ww"))
+    else:
+        # Places at which all shingles of the window are, then the words there, of those documents only.
+        wanted = probes.select("tkey", "win", "first", "len").distinct()
+        every = wanted.join(tokens.select("win", "off", "h"), "win").select("tkey", "win", "first", "len", (F.col("first") + F.col("off")).alias("pos"), "h")
+        whole = every.join(met.distinct(), ["tkey", "pos", "h"]).groupBy("tkey", "win", "first", "len").agg(F.count(F.lit(1)).alias("n"))
+        whole = whole.where(F.col("n") == F.col("len") - F.least("len", F.lit(SHINGLE)) + 1)
+        whole = pin(whole.groupBy("tkey").agg(F.collect_list(F.struct("win", "first", "len")).alias("at")))
+        read = lookup_join(worded, whole, "tkey", "inner").select("tkey", "w", F.explode("at").alias("a")).select("tkey", "a.*", F.slice("w", F.col("a.first") + 1, F.col("a.len")).alias("read"))
+        found = lookup_join(read, pin(one.select("win", "ww")), "win", "inner").where(F.col("read") == F.col("ww"))
+    found = pin(found.select("tkey", "win", "first", "len").distinct())
+    unpin(met, counts, known, tokens, prefix)
+
+    hit = found.select("tkey", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("len") - 1)).alias("p")).distinct()
+    hit = hit.groupBy("tkey").agg(F.count(F.lit(1)).alias("n_hit"), F.sort_array(F.collect_list("p")).alias("hits"))
+    which = lookup_join(found.select("tkey", "win").distinct(), pin(by_window.groupBy("win").agg(F.collect_set("item").alias("of"))), "win", "inner")
+    which = which.groupBy("tkey").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("of")))).alias("items"))
+    verdict = pin(hit.join(which, "tkey", "left"))
+    out = lookup_join(d.select("doc_id", "tkey", n_words), verdict, "tkey", "left")
     return out.select("doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"), F.coalesce("hits", F.array().cast("array<int>")).alias("hits"))
 
 
@@ -113,9 +119,9 @@ def is_contaminated() -> Column:
 
 
 def _hits(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """doc_id, text_key, n_words, n_hit, hits of the different rows of docs that have hit words."""
-    keyed = docs.select(F.struct("doc_id", _text_key()).alias("doc_id"), "text")
-    return pin(contamination(keyed, items).where("n_hit > 0").select("doc_id.*", "n_words", "n_hit", "hits").distinct())
+    """text_key, hits of the different rows of docs that have hit words."""
+    keyed = docs.select(_text_key(), "text")
+    return pin(contamination(keyed, items, id_col="text_key").where("n_hit > 0").select(F.col("doc_id").alias("text_key"), "hits").distinct())
 
 
 def _text_key() -> Column:
@@ -132,36 +138,37 @@ def _without(text: Column, hits: Column) -> Column:
     return F.array_join(F.get(kept, F.lit(0)), "")
 
 
-def _cut(docs: DataFrame, found: DataFrame, how: str) -> DataFrame:
-    """docs without the words that found has as hits; n_chars follows a changed text. how is that of the join."""
-    small = _is_small(found, F.lit(1), 4 * F.size("hits"))
-    table = found.select("text_key", F.col("hits").alias("__hits"))
-    rows = lookup_join(docs.withColumn("text_key", _text_key()), table, "text_key", how, limit=PREFIX_ROWS if small else 0)
-    text = F.when(F.col("__hits").isNull(), F.col("text")).otherwise(_without(F.col("text"), F.col("__hits")))
-    rows = rows.select(*[text.alias(c) if c == "text" else F.col(c) for c in docs.columns], F.col("__hits").isNotNull().alias("__changed"))
-    if "n_chars" in docs.columns:
-        rows = rows.withColumn("n_chars", F.when(F.col("__changed"), F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
-    return pin(rows.select(*docs.columns))
+def drop_contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """The rows of docs without any benchmark window, with the columns they had, whatever their names.
+
+    Each row is judged by its own text: a row with a hit word goes, however long it is, whether its id is null or
+    has other rows; equal rows get equal answers. Rows with null or empty texts stay. An empty table gives no rows,
+    and an empty benchmark, or one without words, drops none. cut_contaminated() keeps such rows and cuts them.
+    """
+    key = free_name(docs.columns, "text_key")
+    bad = _hits(docs, items).select(F.col("text_key").alias(key))
+    return lookup_join(docs.withColumn(key, _text_key()), pin(bad), key, "left_anti").select(*docs.columns)
 
 
-def drop_contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """The documents that are not contaminated, with the columns they had, free of benchmark windows.
+def cut_contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """docs with the columns they had, whose texts have lost all hit words; n_chars follows a changed text.
 
-    Rows of one id go together if one of them is contaminated; rows with a null id stay, since no verdict names them.
-    Rows that stay lose their hit words, whatever their share, and n_chars follows; as what is left may close up to a
-    window, cut rows are looked at again until none has a hit. Rows without hits are unchanged.
+    As what is left may close up to a window, changed rows are looked at again until none has a hit. Rows without
+    hits, and those with null or empty texts, are unchanged; empty tables are as for drop_contaminated().
     """
     found = _hits(docs, items)
-    bad = pin(found.where(is_contaminated()).select("doc_id").distinct())
-    kept = lookup_join(docs, bad, "doc_id", "left_anti")
-    found = pin(lookup_join(found, bad, "doc_id", "left_anti"))
-    if found.isEmpty():
-        return kept
-    cut = _cut(kept, found, "inner")
-    while not (more := _hits(cut, items)).isEmpty():
-        cut = _cut(cut, more, "left")
-    clean = lookup_join(kept.withColumn("text_key", _text_key()), found.select("text_key"), "text_key", "left_anti")
-    return clean.select(*docs.columns).unionByName(cut)
+    while not found.isEmpty():
+        key, hits = free_name(docs.columns, "text_key"), free_name(docs.columns, "hits")
+        table = pin(found.select(F.col("text_key").alias(key), F.col("hits").alias(hits)))
+        rows = lookup_join(docs.withColumn(key, _text_key()), table, key, "left")
+        changed = F.col(hits).isNotNull()
+        text = F.when(changed, _without(F.col("text"), F.col(hits))).otherwise(F.col("text"))
+        new = {"text": text}
+        if "n_chars" in docs.columns:
+            new["n_chars"] = F.when(changed, F.length(text)).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)
+        docs = pin(rows.select(*[new[c].alias(c) if c in new else F.col(c) for c in docs.columns]))
+        found = _hits(docs, items)
+    return docs
 
 
 def op3(spark, sf_dir: str) -> DataFrame:

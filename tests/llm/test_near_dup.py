@@ -1,6 +1,5 @@
-import pandas as pd
-
-from docstrata.llm.near_dup import bayes_floor, near_duplicates
+from docstrata.llm import near_dup
+from docstrata.llm.near_dup import bayes_floor, dedup_documents, near_duplicates
 
 
 def brute(rows, k, num, den):
@@ -45,6 +44,38 @@ def test_chained_and_large_groups(spark):
     check(spark, rows)
 
 
+def test_small_blocks_lose_no_link(spark, monkeypatch):
+    monkeypatch.setattr(near_dup, "BLOCK", 3)
+    base = [f"w{i}" for i in range(40)]
+    # One opening shared by all, so they meet in buckets, and tails that link them in several chains.
+    rows = [(7 * n % 101, " ".join(base + [f"t{(n + j) // 2 % 37}x{(n + j) % 5}" for j in range(12)])) for n in range(101)]
+    check(spark, rows, 2, 85)
+    check(spark, rows, 3, 80)
+
+
+def test_rows_of_one_id_with_different_texts(spark):
+    a, b = ([f"{p}{i}" for i in range(60)] for p in "ab")
+    rows = [(5, " ".join(a)), (5, " ".join(b)), (5, " ".join(b)), (7, " ".join([*a, "x"])), (9, " ".join([*b, "x"])), (3, " ".join([*b, "y"])), (None, " ".join(a)), (11, "c"), (11, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r.doc_id or 0, r.n_shingles, r.component_id or 0, r.kept) for r in near_duplicates(df, 3, 85, 100).collect())
+    assert got == [(0, 58, 0, True), (3, 59, 3, True), (5, 58, 3, False), (5, 58, 3, False), (5, 58, 5, True), (7, 59, 5, False), (9, 59, 3, False), (11, 0, 11, True), (11, 1, 11, True)]
+    left = dedup_documents(df.withColumn("text_key", df.doc_id), 3, 85, 100)
+    assert left.columns == ["doc_id", "text", "text_key"]
+    assert sorted((r.doc_id or 0, r.text or "") for r in left.collect()) == [(0, " ".join(a)), (3, " ".join([*b, "y"])), (11, ""), (11, "c")]
+
+
+def test_equal_rows_of_a_kept_id(spark):
+    df = spark.createDataFrame([(1, "a b c d e f")] * 3 + [(2, "g h i j k l")], "doc_id long, text string")
+    assert sorted(r.doc_id for r in dedup_documents(df).collect()) == [1, 2]
+    assert dedup_documents(df.limit(0)).count() == 0
+
+
+def test_larger_tables_equal_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(near_dup, "BLOCK", 16)
+    rows = [tuple(r) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").collect()]
+    check(spark, rows, 3, 85)
+
+
 def test_empty(spark):
     assert near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 

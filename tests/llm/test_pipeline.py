@@ -69,12 +69,8 @@ def free_of_leaks(docs, items, window=13):
         windows |= {tuple(w[i : i + n]) for i in range(len(w) - n + 1)} if n else set()
     kept = set()
     for d in docs:
-        w, hit = split(d.text), set()
-        for n in {len(x) for x in windows}:
-            for i in range(len(w) - n + 1):
-                if tuple(w[i : i + n]) in windows:
-                    hit.update(range(i, i + n))
-        if not hit or 20 * len(hit) < len(w):
+        w = split(d.text)
+        if not any(tuple(w[i : i + n]) in windows for n in {len(x) for x in windows} for i in range(len(w) - n + 1)):
             kept.add(d.doc_id)
     return kept
 
