@@ -1,19 +1,21 @@
 """Licence notices by Dice coefficient over word bigrams, in DataFrame functions only.
 
-Lines, and whole texts, are normalised to words and compared with licence templates by 2 |A & B| / (|A| + |B|)
-over their sets of word bigrams. A pair can only reach a threshold t if |A| and |B| are within a factor t / (2 - t),
-so templates of other sizes are pruned before anything is compared.
+Lines, runs of consecutive lines, and whole texts are normalised to words and compared with licence templates by
+2 |A & B| / (|A| + |B|) over their sets of word bigrams. A pair can only reach a threshold t if |A| and |B| are within
+a factor t / (2 - t), so templates of other sizes are pruned before anything is compared; and it shares at least that
+part of the template's bigrams, so texts that have fewer of them anywhere are never cut into lines.
 """
 
 from __future__ import annotations
 
-from functools import reduce
+import json
+import math
+import re
 
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import lookup_join, pin
-
 #: Notices as published by the licences' authors; fixed values.
 TEMPLATES = {
     "AGPL-3.0": ["This work is licensed under the GNU Affero General Public License, version 3.", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."],
@@ -39,133 +41,132 @@ def _lines(text: Column) -> Column:
     return F.lower(F.regexp_replace(text, "[^A-Za-z0-9\n]+", " "))
 
 
-def _words(line: Column) -> Column:
-    return F.split(F.trim(line), " ")
-
-
 def _bigrams(w: Column) -> Column:
     """The set of word bigrams; none for fewer than two words."""
     pairs = F.transform(F.slice(w, 1, F.greatest(F.size(w) - 1, F.lit(0))), lambda x, i: F.concat_ws(" ", x, F.get(w, i + 1)))
     return F.array_distinct(pairs)
 
 
-def templates(spark, texts: dict[str, list[str]] | None = None) -> DataFrame:
-    """(license, template, t_size, bigram) of the fixed list, or of one given."""
-    rows = [(k, f"{k}#{n}", t) for k, v in (texts or TEMPLATES).items() for n, t in enumerate(v)]
-    t = spark.createDataFrame(rows, "license string, template string, t string").select("license", "template", _bigrams(_words(_lines(F.col("t")))).alias("b"))
-    return t.select("license", "template", F.size("b").alias("t_size"), F.explode("b").alias("bigram"))
+def _hash(a: str, b: str) -> int:
+    """The engine's xxhash64 of two strings."""
+    h = xxhash.xxh64_intdigest(b.encode(), seed=xxhash.xxh64_intdigest(a.encode(), seed=42))
+    return h - (1 << 64) if h >> 63 else h
 
 
-def scan(docs: DataFrame, threshold: float = THRESHOLD, texts: dict[str, list[str]] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per line or whole text that is a notice: doc_id, line (from 0; -1: the whole text), license, template,
-    dice. Of several templates over the threshold the closest counts, then the first by name.
-
-    Null, empty and one-word texts have no bigrams and match nothing; a text of one line is looked at as a line only.
-    Repeated rows of one id give a row for each line once, the closest. The templates are a list kept in code, so they are
-    broadcast; an empty table gives no rows; other columns are ignored.
-    """
-    spark = docs.sparkSession
-    t = templates(spark, texts)
-    sizes = [r[0] for r in t.select("t_size").distinct().collect()]
-    lo, hi = threshold / (2 - threshold), (2 - threshold) / threshold
-    ranges = sorted((int(-(-n * lo // 1)), int(n * hi // 1)) for n in sizes)
-    merged: list[list[int]] = []
-    for a, b in ranges:
-        if merged and a <= merged[-1][1] + 1:
-            merged[-1][1] = max(b, merged[-1][1])
-        else:
-            merged.append([a, b])
-    fits = reduce(lambda x, y: x | y, [F.size("b").between(a, b) for a, b in merged])
-    least, most = merged[0][0], merged[-1][1]
-    # Exploding a one-element array keeps the optimizer from evaluating its expression again for every use.
-    d = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("doc_id"), F.explode(F.array(_lines(F.col(text_col)))).alias("t"))
-    # A set of n bigrams has at most n + 1 words, so a whole text of more distinct words (and the empty one between
-    # breaks) is out of every size bound before its bigrams are built.
-    few = F.size(F.array_distinct(F.split(F.translate("t", "\n", " "), " "))) <= most + 2
-    whole = F.when(F.contains("t", F.lit("\n")) & few, F.regexp_replace("t", "[ \n]+", " "))
-    unit = d.select("doc_id", F.posexplode(F.concat(F.array(whole), F.split("t", "\n"))).alias("line", "u")).where(F.col("u").isNotNull())
-    worded = unit.select("doc_id", (F.col("line") - 1).alias("line"), F.explode(F.array(_words(F.col("u")))).alias("w")).where(F.size("w") > least)
-    sized = worded.select("doc_id", "line", F.explode(F.array(_bigrams(F.col("w")))).alias("b")).where(fits)
-    hits = sized.select("doc_id", "line", F.xxhash64("b").alias("unit"), F.size("b").alias("size"), F.explode("b").alias("bigram")).join(F.broadcast(t), "bigram")
-    # Equal lines of repeated rows of an id count once, different ones each for themselves.
-    hits = hits.where((F.col("size") >= lo * F.col("t_size")) & (F.col("size") <= hi * F.col("t_size"))).groupBy("doc_id", "line", "unit", "size", "license", "template", "t_size").agg(F.count_distinct("bigram").alias("n"))
-    dice = (2 * F.col("n") / (F.col("size") + F.col("t_size"))).alias("dice")
-    best = hits.select("doc_id", "line", "license", "template", dice).where(F.col("dice") >= threshold).groupBy("doc_id", "line").agg(F.min(F.struct((-F.col("dice")).alias("d"), "license", "template")).alias("m"))
-    return best.select("doc_id", "line", "m.license", "m.template", F.round(-F.col("m.d"), 6).alias("dice"))
-
-
-def runs(docs: DataFrame, threshold: float = THRESHOLD, texts: dict[str, list[str]] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """For each line the closest run of two or more lines from there on that is a notice: doc_id, line (the first),
-    n_lines, license, template, dice.
-
-    Lines without words (blank, or of comment marks only) are passed over and not counted. A run has at most as many
-    words as the largest template allows bigrams, and one. A run at a threshold shares at least t / (2 - t) of its
-    template's bigrams, so only documents that have so many are cut into runs. Null and wordless texts match nothing.
-    """
-    t = templates(docs.sparkSession, texts)
-    lo, hi = threshold / (2 - threshold), (2 - threshold) / threshold
-    cap = _most_words(threshold, t.agg(F.max("t_size")).first()[0])
-    d = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("doc_id"), F.xxhash64(id_col, text_col).alias("tkey"), F.explode(F.array(_lines(F.col(text_col)))).alias("t"))
-    every = d.select("tkey", F.explode(F.array(_words(F.regexp_replace("t", "[ \n]+", " ")))).alias("w")).select("tkey", F.explode(_bigrams(F.col("w"))).alias("bigram"))
-    shared = every.join(F.broadcast(t), "bigram").groupBy("tkey", "template", "t_size").agg(F.count_distinct("bigram").alias("n"))
-    able = pin(shared.where(F.col("n") >= lo * F.col("t_size")).select("tkey").distinct())
-    split = F.transform(F.split("t", "\n"), lambda x, i: F.struct(i.alias("line"), F.filter(F.split(x, " "), lambda w: w != "").alias("w")))
-    lines = lookup_join(d, able, "tkey", "left_semi").select("doc_id", "tkey", F.explode(F.array(F.filter(split, lambda x: F.size(x["w"]) > 0))).alias("ls"))
-    start = lines.select("doc_id", "tkey", "ls", F.explode(F.sequence(F.lit(1), F.greatest(F.size("ls"), F.lit(1)))).alias("i")).select("doc_id", "tkey", F.explode(F.array(F.slice("ls", F.col("i"), cap))).alias("ls")).where(F.size("ls") > 1)
-    counts = F.transform("ls", lambda x: F.size(x["w"]))
-    lengths = F.filter(F.sequence(F.lit(2), F.size("ls")), lambda n: F.aggregate(F.slice(counts, 1, n), F.lit(0), lambda s, x: s + x) <= cap)
-    run = start.select("doc_id", "tkey", "ls", F.explode(lengths).alias("n_lines"))
-    sized = run.select("doc_id", "tkey", F.col("ls")[0]["line"].alias("line"), "n_lines", F.explode(F.array(_bigrams(F.flatten(F.transform(F.slice("ls", F.lit(1), F.col("n_lines")), lambda x: x["w"]))))).alias("b"))
-    hits = sized.select("doc_id", "tkey", "line", "n_lines", F.size("b").alias("size"), F.explode("b").alias("bigram")).join(F.broadcast(t), "bigram")
-    hits = hits.where((F.col("size") >= lo * F.col("t_size")) & (F.col("size") <= hi * F.col("t_size"))).groupBy("doc_id", "tkey", "line", "n_lines", "size", "license", "template", "t_size").agg(F.count_distinct("bigram").alias("n"))
-    dice = (2 * F.col("n") / (F.col("size") + F.col("t_size"))).alias("dice")
-    best = hits.select("doc_id", "line", "n_lines", "license", "template", dice).where(F.col("dice") >= threshold).groupBy("doc_id", "line").agg(F.min(F.struct((-F.col("dice")).alias("d"), "license", "template", "n_lines")).alias("m"))
-    return best.select("doc_id", "line", "m.n_lines", "m.license", "m.template", F.round(-F.col("m.d"), 6).alias("dice"))
+def _sizes(threshold: float) -> tuple[float, float]:
+    """Least and greatest size of a set, in sizes of the template."""
+    return threshold / (2 - threshold), (2 - threshold) / threshold
 
 
 def _most_words(threshold: float, largest: int) -> int:
-    return int(largest * (2 - threshold) / threshold) + 1
+    """Most words of a run: one more than the bigrams that the largest template allows."""
+    return int(largest * _sizes(threshold)[1]) + 1
 
 
-def op10(spark, sf_dir: str) -> DataFrame:
-    return scan(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+def templates(threshold: float = THRESHOLD, texts: dict[str, list[str]] | None = None) -> list[dict]:
+    """The fixed list, or one given: license, template (name), size, need (fewest bigrams that a match shares),
+    bigrams and their hashes. Templates of fewer than two words match nothing and are left out."""
+    out = []
+    for k, v in (texts or TEMPLATES).items():
+        for n, t in enumerate(v):
+            w = re.sub("[^A-Za-z0-9]+", " ", t).lower().split()
+            pairs = list(dict.fromkeys(zip(w, w[1:], strict=False)))
+            if pairs:
+                out.append({"license": k, "template": f"{k}#{n}", "size": len(pairs), "need": math.ceil(_sizes(threshold)[0] * len(pairs) - 1e-9), "bigrams": [" ".join(p) for p in pairs], "hashes": [_hash(*p) for p in pairs]})
+    return out
 
 
-def op10_runs(spark, sf_dir: str) -> DataFrame:
-    return runs(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+def _let(df: DataFrame, name: str, value: Column, *keep: str) -> DataFrame:
+    """df with value as a column, evaluated once: the optimizer does not copy an exploded expression to its uses."""
+    return df.select(*keep, F.explode(F.array(value)).alias(name))
+
+
+def _lets(df: DataFrame, values: dict[str, Column], *keep: str) -> DataFrame:
+    """The same for several values that share their parts."""
+    return df.select(*keep, F.inline(F.array(F.struct(*[v.alias(k) for k, v in values.items()]))))
+
+
+def scan(docs: DataFrame, threshold: float = THRESHOLD, texts: dict[str, list[str]] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """For each line the closest notice that begins there: doc_id, line (from 0), n_lines, license, template, dice; and
+    one row with line -1 and n_lines 0 for a text of several lines that is a notice as a whole.
+
+    A notice is a line or a run of lines, and some bigram that its template has begins in its first line. Lines without words (blank, or of comment marks only) are passed over and not counted by n_lines. A run of two or
+    more lines has at most as many words as the largest template allows bigrams, and one. Of several notices at the
+    threshold the one of the greatest dice counts, then the first by license, template and n_lines. Null, empty and
+    one-word texts match nothing. Repeated rows of one id give each line once, the closest. An empty table gives no
+    rows; other columns are ignored. The templates are a list kept in code and go along with the plan.
+    """
+    known = templates(threshold, texts)
+    lo, hi = _sizes(threshold)
+    cap = _most_words(threshold, max((t["size"] for t in known), default=0))
+    every = sorted({h for t in known for h in t["hashes"]})
+    table = F.from_json(F.lit(json.dumps(known)), "array<struct<license string, template string, size int, need int, bigrams array<string>, hashes array<bigint>>>")
+    d = _let(docs.where(F.col(text_col).isNotNull()), "t", _lines(F.col(text_col)), F.col(id_col).alias("doc_id"))
+    d = _let(d, "w", F.split("t", "[ \n]+"), "doc_id", "t")
+    # The bigrams of templates that a text has anywhere, whatever its lines.
+    d = _let(d, "m", F.array_distinct(F.filter(F.transform("w", lambda x, i: F.xxhash64(x, F.get("w", i + 1))), lambda h: h.isin(every))), "doc_id", "t").where(F.size("m") > 0)
+    d = _let(d, "able", F.filter(table, lambda x: F.size(F.array_intersect(F.col("m"), x["hashes"])) >= x["need"]), "doc_id", "t").where(F.size("able") > 0)
+    lines = F.transform(F.split("t", "\n"), lambda x, i: F.struct(i.alias("line"), F.filter(F.split(x, " "), lambda w: w != "").alias("w")))
+    d = _let(d, "ls", F.filter(lines, lambda x: F.size(x["w"]) > 0), "doc_id", "t", "able").select("doc_id", "ls", F.contains("t", F.lit("\n")).alias("several"), F.inline("able"))
+
+    # Per line its words, and how many bigrams that begin there the template has.
+    ahead = lambda i: F.coalesce(F.get(F.get("ls", i + 1)["w"], F.lit(0)), F.lit(""))
+    count = lambda w: F.size(F.filter(F.transform(F.slice(w, 1, F.size(w) - 1), lambda x, i: F.xxhash64(x, w[i + 1])), lambda h: F.array_contains("hashes", h)))
+    shared = F.transform("ls", lambda x, i: F.struct(F.size(x["w"]).alias("n"), (count(x["w"]) + F.array_contains("hashes", F.xxhash64(F.element_at(x["w"], -1), ahead(i))).cast("int")).alias("hits")))
+    template = ["doc_id", "license", "template", "size", "bigrams"]
+    # Place -1 stands for the whole text. A set of n bigrams has at most n + 1 words, so a text of more distinct words
+    # is out of the size bounds.
+    few = F.col("several") & (F.size(F.array_distinct(F.flatten(F.transform("ls", lambda x: x["w"])))) <= hi * F.col("size") + 1)
+    d = _let(d, "c", shared, *template, "need", "ls", few.alias("few"))
+    begins = F.filter(F.transform("c", lambda x, i: F.when(x["hits"] > 0, i)), lambda i: i.isNotNull())
+    begins = F.concat(F.when(F.col("few"), F.array(F.lit(-1))).otherwise(F.array().cast("array<int>")), begins)
+    d = d.select(*template, "need", "ls", "c", F.explode(begins).alias("i"))
+    whole = F.col("i") == -1
+    d = _let(d, "part", F.slice("c", F.greatest("i", F.lit(0)) + 1, cap), *template, "need", "ls", "i")
+    # One line may have any number of words; longer runs go as far as the words allow.
+    zero = F.struct(*[F.lit(0).alias(x) for x in ("words", "lines", "hits")])
+    step = lambda s, x: F.when(s["words"] + x["n"] <= cap, F.struct((s["words"] + x["n"]).alias("words"), (s["lines"] + 1).alias("lines"), (s["hits"] + x["hits"]).alias("hits"))).otherwise(F.struct(F.lit(cap + 1).alias("words"), s["lines"].alias("lines"), s["hits"].alias("hits")))
+    reach = F.aggregate("part", zero, step, lambda s: F.struct(F.greatest(s["lines"], F.lit(1)).alias("lines"), F.greatest(s["hits"], F.col("part")[0]["hits"]).alias("hits")))
+    d = d.select(*template, "need", "ls", "i", "part", F.inline(F.array(reach))).where(whole | (F.col("hits") >= F.col("need")))
+    enough = F.filter(F.sequence(F.lit(1), F.col("lines")), lambda n: F.aggregate(F.slice("part", F.lit(1), n), F.lit(0), lambda s, x: s + x["hits"]) >= F.col("need"))
+    enough = F.when(whole, F.array(F.lit(0))).otherwise(enough)
+    d = d.select(*template, F.when(whole, F.col("ls")).otherwise(F.slice("ls", F.greatest("i", F.lit(0)) + 1, F.col("lines"))).alias("ls"), F.explode(enough).alias("n_lines"))
+    whole = F.col("n_lines") == 0
+    unit = F.when(whole, F.col("ls")).otherwise(F.slice("ls", F.lit(1), F.col("n_lines")))
+    d = d.select(*template, "n_lines", F.when(whole, F.lit(-1)).otherwise(F.col("ls")[0]["line"]).alias("line"), F.flatten(F.transform(unit, lambda x: x["w"])).alias("w"))
+    units = _let(d, "b", _bigrams(F.col("w")), *template, "line", "n_lines")
+    fit = units.where((F.size("b") >= lo * F.col("size")) & (F.size("b") <= hi * F.col("size")))
+    dice = 2.0 * F.size(F.array_intersect("b", "bigrams")) / (F.size("b") + F.col("size"))
+    hits = _let(fit, "dice", dice, "doc_id", "line", "n_lines", "license", "template").where(F.col("dice") >= threshold)
+    best = hits.groupBy("doc_id", "line").agg(F.min(F.struct((-F.col("dice")).alias("d"), "license", "template", "n_lines")).alias("m"))
+    return best.select("doc_id", "line", "m.n_lines", "m.license", "m.template", F.round(-F.col("m.d"), 6).alias("dice"))
+
+
+def op10(spark, sf_dir: str) -> DataFrame:
+    return scan(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
 def _sql() -> str:
-    lo, hi = THRESHOLD / (2 - THRESHOLD), (2 - THRESHOLD) / THRESHOLD
+    lo, hi = _sizes(THRESHOLD)
+    cap = _most_words(THRESHOLD, max(t["size"] for t in templates()))
     values = ", ".join("('{}', '{}', '{}')".format(k, f"{k}#{n}", t.replace("'", "''")) for k, v in TEMPLATES.items() for n, t in enumerate(v))
+    words = lambda c: f"list_filter(string_split(lower(regexp_replace({c}, '[^A-Za-z0-9]+', ' ', 'g')), ' '), lambda y: y <> '')"
     return rf"""
 WITH tt(license, template, t) AS (VALUES {values}),
-u AS (SELECT doc_id, CAST(unnest(range(0, len(l))) AS INTEGER) AS line, unnest(l) AS u FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)
-      UNION ALL SELECT doc_id, -1, text FROM documents WHERE contains(text, chr(10))),
-w AS (SELECT doc_id, line, string_split(trim(lower(regexp_replace(u, '[^A-Za-z0-9]+', ' ', 'g'))), ' ') AS w FROM u),
-b AS (SELECT doc_id, line, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS b FROM w WHERE len(w) > 1),
-tw AS (SELECT license, template, string_split(trim(lower(regexp_replace(t, '[^A-Za-z0-9]+', ' ', 'g'))), ' ') AS w FROM tt),
+x AS (SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda s, i: {{'line': i - 1, 'w': {words('s')}}}), lambda s: len(s.w) > 0) AS ls FROM documents WHERE text IS NOT NULL),
+s0 AS (SELECT doc_id, ls[i:i + {cap} - 1] AS ls FROM (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS i FROM x)),
+s AS (SELECT doc_id, ls, len(list_filter(range(1, len(ls) + 1), lambda n: list_sum(list_transform(ls[1:n], lambda z: len(z.w))) <= {cap})) AS k FROM s0),
+r AS (SELECT doc_id, CAST(ls[1].line AS INTEGER) AS line, ls, CAST(unnest(range(1, greatest(k, 1) + 1)) AS INTEGER) AS n_lines FROM s),
+w AS (SELECT doc_id, line, n_lines, len(ls[1].w) AS f, flatten(list_transform(ls[1:n_lines], lambda z: z.w)) AS w FROM r
+      UNION ALL SELECT doc_id, -1, 0, len(text), {words('text')} FROM documents WHERE contains(text, chr(10))),
+b AS (SELECT doc_id, line, n_lines, list_transform(range(1, least(f + 1, len(w))), lambda i: w[i] || ' ' || w[i + 1]) AS fb,
+             list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS b FROM w WHERE len(w) > 1),
+tw AS (SELECT license, template, {words('t')} AS w FROM tt),
 tb AS (SELECT license, template, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS tb FROM tw),
-p AS (SELECT doc_id, line, license, template, 2.0::DOUBLE * len(list_intersect(b, tb)) / (len(b) + len(tb)) AS dice FROM b JOIN tb ON len(b) >= {lo} * len(tb) AND len(b) <= {hi} * len(tb)),
-r AS (SELECT *, row_number() OVER (PARTITION BY doc_id, line ORDER BY dice DESC, license, template) AS rn FROM p WHERE dice >= {THRESHOLD})
-SELECT doc_id, line, license, template, round(dice, 6) AS dice FROM r WHERE rn = 1
+p AS (SELECT doc_id, line, n_lines, license, template, 2.0::DOUBLE * len(list_intersect(b, tb)) / (len(b) + len(tb)) AS dice FROM b JOIN tb ON len(b) >= {lo} * len(tb) AND len(b) <= {hi} * len(tb) AND list_has_any(fb, tb)),
+o AS (SELECT *, row_number() OVER (PARTITION BY doc_id, line ORDER BY dice DESC, license, template, n_lines) AS rn FROM p WHERE dice >= {THRESHOLD})
+SELECT doc_id, line, n_lines, license, template, round(dice, 6) AS dice FROM o WHERE rn = 1
 """
 
 
 OP10_SQL = _sql()
-
-
-def _runs_sql() -> str:
-    words = lambda c: f"list_filter(string_split(lower(regexp_replace({c}, '[^A-Za-z0-9]+', ' ', 'g')), ' '), lambda y: y <> '')"
-    norm = lambda t: "".join(x if x.isascii() and x.isalnum() else " " for x in t).lower().split()
-    cap = _most_words(THRESHOLD, max(len(set(zip(w, w[1:]))) for v in TEMPLATES.values() for w in map(norm, v)))
-    head, tail = OP10_SQL.index("u AS ("), OP10_SQL.index("b AS (")
-    sql = OP10_SQL[:head] + f"""x AS (SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda s, i: {{'line': i - 1, 'w': {words('s')}}}), lambda s: len(s.w) > 0) AS ls FROM documents WHERE text IS NOT NULL),
-s AS (SELECT doc_id, ls[i:i + {cap} - 1] AS ls FROM (SELECT doc_id, ls, unnest(range(1, len(ls))) AS i FROM x)),
-r0 AS (SELECT doc_id, CAST(ls[1].line AS INTEGER) AS line, ls, CAST(unnest(range(2, len(ls) + 1)) AS INTEGER) AS n_lines FROM s),
-w AS (SELECT doc_id, line, n_lines, flatten(list_transform(ls[1:n_lines], lambda z: z.w)) AS w FROM r0 WHERE list_sum(list_transform(ls[1:n_lines], lambda z: len(z.w))) <= {cap}),
-""" + OP10_SQL[tail:]
-    return sql.replace("doc_id, line, list_distinct", "doc_id, line, n_lines, list_distinct").replace("doc_id, line, license, template", "doc_id, line, n_lines, license, template").replace("dice DESC, license, template", "dice DESC, license, template, n_lines")
-
-
-OP10_RUNS_SQL = _runs_sql()

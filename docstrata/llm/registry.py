@@ -15,12 +15,10 @@ QUERIES = {
     "op8_extendible_sharding": sharding.op8,
     "op9_token_counts": token_counts.op9,
     "op10_license_scan": licenses.op10,
-    "op10_license_runs": licenses.op10_runs,
 }
 
 ORACLE_SQL = {
     "op3_benchmark_decontamination": decontaminate.OP3_SQL,
     "op8_extendible_sharding": sharding.OP8_SQL,
     "op10_license_scan": licenses.OP10_SQL,
-    "op10_license_runs": licenses.OP10_RUNS_SQL,
 }

@@ -156,5 +156,5 @@ def test_licenses(spark):
     mit = "Released under the MIT License."
     padded = [(1, mit + " -" * 20000, "a"), (2, "Released under\n" + "\n. " * 20000 + "the MIT License.", "b"), (3, "b c " * 9000, "c"), (4, "released under the MIT", "d"), (4, "under the MIT license", "d")]
     got = {(r.doc_id, r.line, r.dice) for r in licenses.scan(spark.createDataFrame(padded, "doc_id long, text string, line string")).collect()}
-    assert got == {(1, 0, 1.0), (2, -1, 1.0), (4, 0, round(6 / 7, 6))}
+    assert got == {(1, 0, 1.0), (2, -1, 1.0), (2, 0, 1.0), (4, 0, round(6 / 7, 6))}
     assert licenses.scan(empty(spark)).count() == 0
