@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import arrow_batches, give_back, lookup_join, pin
+from .common import arrow_batches, free_name, give_back, lookup_join, pin, unpin
 from .toxicity import bounded_sample, logistic
 
 #: Most labelled documents the text model is fitted on.
@@ -87,11 +87,13 @@ def _strength(groups: DataFrame, prior: str) -> float:
 
 
 def quality(docs: DataFrame, labels: DataFrame, host_col: str = "source", path_col: str = "lang", threshold: float = 0.5, sample: int = SAMPLE) -> DataFrame:
-    """docs with a struct `quality` more: own (P(low) from the text alone), host, path (shrunk rates), p_low, rejected.
+    """docs with a last column more, a struct `quality` (`quality_2` and so on if docs has that name): own (P(low) from
+    the text alone), host, path (shrunk rates), p_low, rejected.
 
-    Null hosts and paths are groups of their own; null and empty texts are judged by their measures, all zero. Rows
-    are judged one by one, so repeated rows get equal answers. Without labels all evidence is even and nothing is
-    rejected unless its site is. An empty table gives no rows; other columns pass through.
+    path_col is any finer part of a host; the tables given have no paths, so the query takes a host's languages. Null
+    hosts and paths are groups of their own; null and empty texts are judged by their measures, all zero. Rows, with
+    null ids too, are judged one by one, so repeated rows get equal answers. Without labels all evidence is even and
+    nothing is rejected unless its site is. An empty table gives no rows; other columns pass through.
     """
     spark = docs.sparkSession
     arrow_batches(spark)
@@ -106,19 +108,23 @@ def quality(docs: DataFrame, labels: DataFrame, host_col: str = "source", path_c
     hosts = pin(hosts.select("host", ((F.col("s") + k * mu) / (F.col("n") + k)).alias("host_rate")))
     both = pin(paths.join(hosts, paths["host"].eqNullSafe(hosts["host"]), "left").select(paths["host"], "path", "n", "s", "host_rate"))
     k = _strength(both, "host_rate")
-    site = both.select(F.xxhash64(F.struct("host", "path")).alias("__site"), "host_rate", ((F.col("s") + k * F.col("host_rate")) / (F.col("n") + k)).alias("path_rate"))
-    out = lookup_join(docs.drop("quality").withColumn("__site", F.xxhash64(F.struct(F.col(host_col).alias("host"), F.col(path_col).alias("path")))), pin(site.select("__site", F.struct("host_rate", "path_rate").alias("__rate"))), "__site", "left")
-    out = out.withColumn("__z", _evidence(b)(F.col("text")))
+    key, rate, score, out = (free_name(docs.columns, x) for x in ("site", "rate", "evidence", "quality"))
+    site = pin(both.select(F.xxhash64(F.struct("host", "path")).alias(key), F.struct("host_rate", ((F.col("s") + k * F.col("host_rate")) / (F.col("n") + k)).alias("path_rate")).alias(rate)))
+    unpin(paths, hosts, both)
+    rows = lookup_join(docs.withColumn(key, F.xxhash64(F.struct(F.col(host_col).alias("host"), F.col(path_col).alias("path")))), site, key, "left")
+    rows = rows.withColumn(score, _evidence(b)(F.col("text")))
     odds = lambda r: F.log(r / (1 - r))
-    post = F.col("__z") - odds(F.lit(mu)) + odds(F.least(F.greatest(F.col("__rate.path_rate"), F.lit(1e-6)), F.lit(1 - 1e-6)))
+    post = F.col(score) - odds(F.lit(mu)) + odds(F.least(F.greatest(F.col(rate)["path_rate"], F.lit(1e-6)), F.lit(1 - 1e-6)))
     p_low = 1 / (1 + F.exp(-post))
-    own = 1 / (1 + F.exp(-F.col("__z")))
-    return out.withColumn("quality", F.struct(own.alias("own"), F.col("__rate.host_rate").alias("host"), F.col("__rate.path_rate").alias("path"), p_low.alias("p_low"), (p_low >= threshold).alias("rejected"))).drop("__site", "__rate", "__z")
+    own = 1 / (1 + F.exp(-F.col(score)))
+    return rows.select(*docs.columns, F.struct(own.alias("own"), F.col(rate)["host_rate"].alias("host"), F.col(rate)["path_rate"].alias("path"), p_low.alias("p_low"), (p_low >= threshold).alias("rejected")).alias(out))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents that quality() does not reject, with the columns they had."""
-    return quality(docs, labels).where(~F.col("quality.rejected")).select(*docs.columns)
+    """The documents that quality() does not reject, with the columns they had, whatever their names; see there for
+    nulls, repeated rows and empty tables."""
+    rows = quality(docs, labels)
+    return rows.where(~F.col(rows.columns[-1])["rejected"]).select(*docs.columns)
 
 
 def op7(spark, sf_dir: str) -> DataFrame:

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import lookup_join, pin
+from .common import free_name, lookup_join, pin
 
 BITS = 32
 #: Directory bits beyond those an even split needs, at first; more are added while a bucket is still too large.
@@ -46,7 +46,8 @@ def directory(sizes: DataFrame, limit: int) -> tuple[int, DataFrame]:
 
 
 def shard(docs: DataFrame, limit: int = 256 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with a struct `shard` more: depth, bucket (the hash's first depth bits), bytes (of the shard), oversize.
+    """docs with a last column more, a struct `shard` (`shard_2` and so on if docs has that name): depth, bucket (the
+    hash's first depth bits), bytes (of the shard), oversize.
 
     A document's size is its text's UTF-8 bytes (null: 0). Shards hold at most limit bytes; one that cannot be split
     further, because its rows share one id or one text exceeds the limit, is marked oversize. Null ids hash as the
@@ -55,8 +56,9 @@ def shard(docs: DataFrame, limit: int = 256 << 20, id_col: str = "doc_id", text_
     sized = docs.select(_hash(id_col).alias("h"), F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long").alias("bytes"))
     sizes = pin(sized.groupBy("h").agg(F.sum("bytes").alias("bytes")))
     bits, table = directory(sizes, limit)
-    table = pin(table.select(F.col("slot").alias("__slot"), F.struct(F.col("depth").cast("int").alias("depth"), "bucket", "bytes", (F.col("bytes") > limit).alias("oversize")).alias("shard")))
-    return lookup_join(docs.drop("shard").withColumn("__slot", F.shiftright(_hash(id_col), BITS - bits)), table, "__slot", "left").drop("__slot")
+    slot, out = free_name(docs.columns, "slot"), free_name(docs.columns, "shard")
+    table = pin(table.select(F.col("slot").alias(slot), F.struct(F.col("depth").cast("int").alias("depth"), "bucket", "bytes", (F.col("bytes") > limit).alias("oversize")).alias(out)))
+    return lookup_join(docs.withColumn(slot, F.shiftright(_hash(id_col), BITS - bits)), table, slot, "left").select(*docs.columns, out)
 
 
 def op8(spark, sf_dir: str) -> DataFrame:

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, WordHash, arrow_batches, give_back, lookup_join, mix, pin, release, word_hashes
+from .common import BROADCAST_ROWS, WordHash, arrow_batches, free_name, give_back, lookup_join, mix, pin, release, word_hashes
 
 #: Words hashed together in one batch of a task, and words a bucket receives.
 BATCH_WORDS, BUCKET_WORDS = 400_000, 1_000_000
@@ -88,7 +88,7 @@ def _wire(batch: _Batch, decided: np.ndarray, h: np.ndarray, places: np.ndarray,
     bucket, h, places = bucket[order], h[order].astype(kind), places[order].astype(np.uint32)
     extra = extra[order] if extra is not None else None
     cut = _runs(bucket)
-    for a, b in zip(cut, np.append(cut[1:], len(bucket)), strict=True):
+    for a, b in zip(cut, np.append(cut[1:], len(bucket))[: len(cut)], strict=True):
         blob = h[a:b].tobytes() + _planes(places[a:b]) + (_planes(extra[a:b].view(np.uint64)) if extra is not None else b"")
         rows.append((int(bucket[a]), 2, blob))
     b, k, x = zip(*rows, strict=True)
@@ -240,12 +240,14 @@ def _with_spans(left: DataFrame, spans: DataFrame, how: str) -> DataFrame:
 
 
 def remove_repeats(docs: DataFrame, window: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with three columns more, as a struct `repeats`: n_words, n_removed, kept (the words left, one space between).
+    """docs with a last column more, a struct `repeats` (`repeats_2` and so on if docs has that name): n_words,
+    n_removed, kept (the words left, one space between).
 
     Words are runs without ASCII white space, unchanged. A word is removed if some window of `window` consecutive
     words around it also begins in a document with a smaller id; windows are judged on the input. Null texts have no
     words and keep a null text; rows with a null id are neither sources nor changed; rows of one id are not earlier
-    than each other. Texts shorter than a window are unchanged. Other columns pass through, whatever their names.
+    than each other. Texts shorter than a window are unchanged. Repeated rows each get a row; an empty table gives no
+    rows. Other columns pass through, whatever their names.
     """
     spark = docs.sparkSession
     arrow_batches(spark)
@@ -278,23 +280,25 @@ def remove_repeats(docs: DataFrame, window: int = 50, id_col: str = "doc_id", te
             kept.append(b" ".join(left).decode("utf-8", "surrogatepass") if t is not None else None)
         return pd.DataFrame({"n_words": n_words, "n_removed": n_removed, "kept": kept})
 
-    # Not unique names of the caller's columns are avoided by joining on columns made here.
-    keyed = docs.withColumn("__doc", F.col(id_col).cast("long")).withColumn("__tkey", F.xxhash64(text_col))
-    spans = gone.select(F.col("doc").alias("__doc"), F.col("tkey").alias("__tkey"), F.col("spans").alias("__spans"))
-    joined = _with_spans(keyed, spans, "left")
-    return joined.withColumn("repeats", cut(F.col(text_col), F.col("__spans"))).drop("__doc", "__tkey", "__spans")
+    doc, key, at, out = (free_name(docs.columns, x) for x in ("doc", "tkey", "spans", "repeats"))
+    keyed = docs.withColumn(doc, F.col(id_col).cast("long")).withColumn(key, F.xxhash64(text_col))
+    spans = gone.select(F.col("doc").alias(doc), F.col("tkey").alias(key), F.col("spans").alias(at))
+    return _with_spans(keyed, spans, "left").select(*docs.columns, cut(F.col(text_col), F.col(at)).alias(out))
 
 
 def dedup_passages(docs: DataFrame, window: int = 50) -> DataFrame:
     """The documents without passages of `window` words or more that an earlier one has, with the columns they had.
 
     Changed texts are their kept words with one space between and n_chars follows; unchanged ones stay as they are.
-    Documents that lose all their words go.
+    Documents that lose all their words go. Nulls, repeated rows and empty tables are as for remove_repeats().
     """
     out = remove_repeats(docs, window)
-    changed = F.col("repeats.n_removed") > 0
-    cols = [F.when(changed, F.col("repeats.kept")).otherwise(F.col("text")).alias("text") if c == "text" else F.when(changed, F.length("repeats.kept").cast("long")).otherwise(F.col("n_chars")).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns]
-    return out.where((F.col("repeats.n_removed") == 0) | (F.col("repeats.n_removed") < F.col("repeats.n_words"))).select(*cols)
+    got = F.col(out.columns[-1])
+    changed = got["n_removed"] > 0
+    new = {"text": F.when(changed, got["kept"]).otherwise(F.col("text"))}
+    if "n_chars" in docs.columns:
+        new["n_chars"] = F.when(changed, F.length(got["kept"])).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)
+    return out.where(~changed | (got["n_removed"] < got["n_words"])).select(*[new[c].alias(c) if c in new else F.col(c) for c in docs.columns])
 
 
 def op6(spark, sf_dir: str) -> DataFrame:

@@ -19,10 +19,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_batches, pin
+from .common import arrow_batches, free_name, pin
 
-#: Most labelled documents the lexicon and the calibration are learned from, and most entries of the lexicon.
-SAMPLE, ENTRIES = 20_000, 5_000
+#: About how many labelled documents, at most, the lexicon and the calibration are learned from.
+SAMPLE = 20_000
 #: Fewest toxic documents of an entry, and least log odds.
 SUPPORT, WEIGHT = 6, 2.0
 #: Letters of an entry that stands for all words beginning with it.
@@ -80,8 +80,7 @@ def _partial(kind):
 
 def _count(sample: DataFrame, kind, where: str) -> list[tuple[str, int, int]]:
     rows = sample.mapInArrow(_partial(kind), "key string, clean long, toxic long").groupBy("key").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).where(where)
-    odds = F.log((F.col("toxic") + 0.5) / (F.col("clean") + 0.5))
-    return [tuple(r) for r in rows.orderBy(odds.desc(), F.col("toxic").desc(), "key").limit(20 * ENTRIES).collect()]  # bounded by ENTRIES
+    return sorted(tuple(r) for r in rows.collect())  # terms of the sample that where lets through
 
 
 class Matcher:
@@ -158,7 +157,12 @@ def bounded_sample(docs: DataFrame, labels: DataFrame, label: str, size: int) ->
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, exceptions: tuple[str, ...] = ()) -> dict:
-    """Lexicon, exceptions and calibration from labels (doc_id, toxic); without usable labels, an empty lexicon."""
+    """Lexicon, exceptions and calibration from labels (doc_id, toxic); without usable labels, an empty lexicon.
+
+    It learns from about `sample` labelled documents at most; the lexicon has every entry over SUPPORT and WEIGHT
+    there, and exceptions are those given and every phrase around entries that three clean documents and no toxic one
+    have. Null texts teach nothing.
+    """
     data = pin(bounded_sample(docs, labels, "toxic", sample).repartition(max(4, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))))
     totals = {r[0]: r[1] for r in data.groupBy("y").count().collect()}
     n0, n1 = totals.get(0, 0), totals.get(1, 0)
@@ -169,10 +173,10 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, exceptions:
             weights[term] = math.log((t + 0.5) / (c + 0.5)) + shift
         # A word beginning says as much as the longer entries that it covers.
         keep = {t for t in weights if not any(weights.get(t[:k], -9) >= weights[t] - 1 for k in STEMS if k < len(t.rstrip()) or (k == len(t.rstrip()) and t.endswith(" ")))}
-        weights = dict(sorted(((t, w) for t, w in weights.items() if t in keep), key=lambda x: (-x[1], x[0]))[:ENTRIES])
+        weights = {t: w for t, w in weights.items() if t in keep}
     shields = [fold(x) for x in exceptions]
     if weights:
-        shields += [k for k, c, t in _count(data, _around(weights), "toxic = 0 and clean >= 3")][:ENTRIES]
+        shields += [k for k, c, t in _count(data, _around(weights), "toxic = 0 and clean >= 3")]
     model = {"weights": weights, "exceptions": shields, "b": np.array([-2.0, 4.0, 0.5])}
     if weights:
         rows = data.select(_features(model)("text").alias("f"), "y").select("f.*", "y").collect()  # bounded by sample
@@ -183,15 +187,17 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, exceptions:
 
 def _features(model: dict):
     @F.pandas_udf("hit double, density double")
-    def f(text: pd.Series) -> pd.DataFrame:
+    def f(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         m = Matcher(model["weights"], model["exceptions"])
-        return pd.DataFrame([m.features(fold(t or "")) for t in text], columns=["hit", "density"], dtype=float)
+        for text in batches:
+            yield pd.DataFrame([m.features(fold(t or "")) for t in text], columns=["hit", "density"], dtype=float)
 
     return f
 
 
 def score(docs: DataFrame, model: dict, text_col: str = "text") -> DataFrame:
-    """docs with a column `toxicity` more, from 0 to 1. Null and empty texts get the score of a text without matches."""
+    """docs with a last column more, `toxicity` (`toxicity_2` and so on if docs has that name), from 0 to 1. Null and
+    empty texts get the score of a text without matches."""
     b = model["b"]
 
     @F.pandas_udf("double")
@@ -201,7 +207,7 @@ def score(docs: DataFrame, model: dict, text_col: str = "text") -> DataFrame:
             f = np.array([m.features(fold(t or "")) for t in text], float).reshape(-1, 2)
             yield pd.Series(1 / (1 + np.exp(-np.clip(b[0] + f @ b[1:], -30, 30))))
 
-    return docs.withColumn("toxicity", s(F.col(text_col)))
+    return docs.select(*docs.columns, s(F.col(text_col)).alias(free_name(docs.columns, "toxicity")))
 
 
 def held_out():
@@ -210,7 +216,12 @@ def held_out():
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:
-    """One row per document row: doc_id, held_out, score, predicted. See train() and score() for empty inputs."""
+    """One row per document row: doc_id, held_out, score, predicted.
+
+    Rows with a null id are scored and not held out; repeated rows each get a row. Null, empty and very long texts are
+    scored whole. Other columns are ignored. Without usable labels no text matches anything; an empty table gives no
+    rows.
+    """
     docs = docs.select("doc_id", "text")
     arrow_batches(docs.sparkSession)
     model = train(docs, labels.where(~held_out()))

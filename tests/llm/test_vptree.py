@@ -1,5 +1,6 @@
 import numpy as np
 
+from docstrata.llm import vptree
 from docstrata.llm.vptree import build, nearest, op4, search
 
 
@@ -27,7 +28,62 @@ def compare(got, want):
 
 def test_real_vectors(spark, sf):
     rows = [(r.vec_id, r.embedding) for r in spark.read.parquet(f"{sf}/embeddings.parquet").collect()]
-    compare(op4(spark, sf).collect(), brute(rows, 20))
+    df = spark.read.parquet(f"{sf}/embeddings.parquet")
+    compare(nearest(df, df.where("vec_id % 20 = 0"), factor=1.0).collect(), brute(rows, 20))
+
+
+def test_several_shards_and_blocks_are_exact_at_factor_one(spark, monkeypatch):
+    for name, value in (("SHARD", 40), ("BLOCK", 7), ("LEAF", 8), ("FAR", 3)):
+        monkeypatch.setattr(vptree, name, value)
+    rng = np.random.default_rng(8)
+    centres = rng.normal(size=(6, 5)) * 3
+    rows = [(i, [float(x) for x in centres[i % 6] * (1 + i % 3) + rng.normal(size=5) / 4]) for i in range(400)]
+    rows += [(i, [1.0] * 5) for i in range(400, 520)]  # more equal vectors than a shard holds
+    rows += [(i, [float(i), 2.0]) for i in range(520, 580)] + [(600, [1.0])]  # other lengths meet their own
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = nearest(df, df.where("vec_id % 20 = 0"), 10, 1.0).collect()
+    for n in (5, 2, 1):
+        mine = [r for r in rows if len(r[1]) == n]
+        ids = {i for i, _ in mine}
+        compare([r for r in got if r.query_id in ids], brute(mine, 10))
+
+
+def test_recall_of_the_query_over_given_vectors(spark):
+    sf = "/root/testdata/sf0.1"
+    rows = spark.read.parquet(f"{sf}/embeddings.parquet").collect()
+    x, ids = np.array([r.embedding for r in rows], float), np.array([r.vec_id for r in rows])
+    got = {}
+    for r in op4(spark, sf).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    found = total = 0
+    for i, v in zip(ids, x, strict=True):
+        if i % 20 == 0:
+            best = set(ids[np.argsort(-np.where(ids == i, -np.inf, x @ v))[:20]].tolist())
+            found, total = found + len(best & got[i]), total + 20
+    assert found / total >= 0.97
+
+
+def figures(x, factor, k=20, leaf=None):
+    """(share of vectors compared, recall) of queries with every twentieth vector."""
+    leaves, order = build(x, np.random.default_rng(1), leaf)
+    x, read = x[order], []
+    q = x[::20]
+    exact = np.argsort(-(q @ x.T), axis=1)[:, : k + 1]
+    found = search(leaves, x, q, k + 1, factor, read=read)
+    return sum(read) / (len(q) * len(x)), np.mean([len(set(e) & set(f)) / len(e) for e, f in zip(exact.tolist(), map(np.ndarray.tolist, found), strict=True)])
+
+
+def test_what_pruning_spares(spark):
+    """README's figures: little on the vectors given, which have no structure; most where vectors lie in groups."""
+    x = np.array([r.embedding for r in spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").collect()], float)
+    for factor in (1.0, 2.0, 4.0, 6.0, 8.0, 10.0):
+        read, recall = figures(x, factor)
+        assert read > 0.5 or recall < 0.9, factor
+    rng = np.random.default_rng(2)
+    grouped = np.repeat(rng.normal(size=(50, 64)), 60, axis=0) + rng.normal(size=(3000, 64)) / 20
+    grouped /= np.linalg.norm(grouped, axis=1)[:, None]
+    read, recall = figures(grouped, 1.0)
+    assert read < 0.5 and recall == 1.0
 
 
 def test_odd_vectors_and_ties(spark):
