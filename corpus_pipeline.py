@@ -1,7 +1,9 @@
 """Corpus pipeline: quality, near duplicates, repeated passages, benchmark leaks, packing.
 
 Each stage takes the documents that its predecessor kept, decides on its own input, and returns the columns of
-documents; the last returns the pieces of packed sequences.
+documents; the last returns the pieces of packed sequences. Every stage takes null ids, null, empty and very long
+texts, repeated rows, empty tables and further columns of any name; what comes of them is told at the function that
+it calls.
 """
 
 from __future__ import annotations
@@ -19,7 +21,8 @@ def quality_classifier(spark, docs, sf_dir: str):
 
 
 def minhash_near_dedup(spark, docs, sf_dir: str):
-    """One document of each group of near duplicates (five-word shingles, similarity of 0.8 or more)."""
+    """One document of each group of near duplicates (five-word shingles, similarity of 0.8 or more); null and empty
+    texts all stay."""
     return dedup_documents(docs)
 
 
@@ -29,7 +32,7 @@ def substring_dedup(spark, docs, sf_dir: str):
 
 
 def benchmark_decontamination(spark, docs, sf_dir: str):
-    """Documents that are no substantial part benchmark items, without the words of any that they hold."""
+    """Documents without any window of a benchmark item."""
     return drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
