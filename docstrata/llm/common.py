@@ -17,8 +17,10 @@ from pyspark.sql import types as T
 
 #: Most rows, and bytes of them, of a lookup side that is sent to every executor; larger ones are joined by shuffle.
 BROADCAST_ROWS, BROADCAST_BYTES = 500_000, 64_000_000
+#: Bytes of a row group of the tables written between steps: bounds what a writing task holds.
+ROW_GROUP = 32 << 20
 #: Entries kept by a worker's word caches before they are emptied.
-CACHE_ENTRIES = 300_000
+CACHE_ENTRIES = 150_000
 #: Odd multipliers that order the words of a shingle.
 _MULT = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], dtype=np.uint64)
 
@@ -50,7 +52,7 @@ def pin(df: DataFrame, partitions: int | None = None) -> DataFrame:
     _written.setdefault(spark, []).append(path)
     if partitions:
         df = df.coalesce(partitions)
-    df.write.parquet(path)
+    df.write.option("parquet.block.size", ROW_GROUP).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._pinned_at = path
     return out

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from .common import BROADCAST_ROWS, WordHash, arrow_batches, free_name, give_back, lookup_join, mix, pin, release, word_hashes
 
 #: Words hashed together in one batch of a task, and words a bucket receives.
-BATCH_WORDS, BUCKET_WORDS = 400_000, 1_000_000
+BATCH_WORDS, BUCKET_WORDS = 250_000, 500_000
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
 
 
