@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..tables import cut
+
 SITEMAP = "url array<struct<loc string, lastmod string, changefreq string, priority double>>"
 INDEX = "sitemap array<struct<loc string, lastmod string>>"
 
@@ -23,11 +25,13 @@ def sitemap_entries(xml: DataFrame, col: str = "xml") -> DataFrame:
 def sitemap_tree(files: DataFrame, roots: list[str], depth: int = 5) -> DataFrame:
     """Entries of the url sets reached from root sitemaps over sitemap indexes; files has (location, xml), and indexes
     whose children are absent are tolerated."""
-    at = files.where(F.col("location").isin(roots))
+    at = cut(files.where(F.col("location").isin(roots)))
     found = at
     for _ in range(depth):
+        if at.isEmpty():
+            break
         child = at.select(F.explode(F.from_xml("xml", INDEX, {"mode": "PERMISSIVE"})["sitemap"]).alias("s")).select(F.col("s.loc").alias("location")).distinct()
-        at = files.join(child, "location", "left_semi").join(found.select("location"), "location", "left_anti")
+        at = cut(files.join(child, "location", "left_semi").join(found.select("location"), "location", "left_anti"))  # each level is parsed once
         found = found.unionByName(at)
     return sitemap_entries(found)
 
@@ -38,6 +42,17 @@ def is_pdf(url, content_type=None):
     return hit if content_type is None else hit | (content_type == "application/pdf")
 
 
+def clean_pdf_text(text):
+    """One space between words."""
+    return F.trim(F.regexp_replace(F.regexp_replace(text, r"(?U)\s+", " "), r"[\f\r]", ""))
+
+
+def wants_ocr(src, alt):
+    """Whether an image is worth reading: of a common format, and without a telling alternative text."""
+    told = (F.length(alt) > 10) & ~F.contains(F.lower(alt), F.lit("image"))
+    return ~F.coalesce(told, F.lit(False)) & F.lower(src).rlike(r"\.jpg|\.jpeg|\.png|\.gif|\.webp|\.bmp")
+
+
 def ocr_bucket(confidence):
     """Accepted over 0.6, tagged over 0.3, else dropped."""
     return F.when(confidence > 0.6, "accept").when(confidence > 0.3, "low_confidence").otherwise("drop")

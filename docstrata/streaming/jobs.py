@@ -3,33 +3,57 @@
 from __future__ import annotations
 
 import hashlib
-import tempfile
 import uuid
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-DIM = 384
+from ..operators.corpus import process
+from ..tables import shared_dir
+
+#: Numbers of the small and the large vector.
+DIM, LARGE = 384, 1024
 
 
 def shared(spark: SparkSession) -> str:
-    """A new folder that all executors share: under spark.checkpoint.dir, else a temporary one (tests)."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    return f"{base}/stream-{uuid.uuid4().hex}" if base else tempfile.mkdtemp(prefix="stream-")
+    """A new folder that all executors share."""
+    return f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
 
 
-@F.udf(T.ArrayType(T.FloatType()), useArrow=True)
-def embed(text: str) -> list[float]:
-    """Hashing-trick unit vector of DIM numbers: a stand-in for an embedding service, the same on every run."""
-    v = [0.0] * DIM
+def hashed(text: str | None, dim: int) -> list[float]:
+    """Hashing-trick unit vector: a stand-in for an embedding service, the same on every run."""
+    v = [0.0] * dim
     for w in (text or "").lower().split():
         h = int.from_bytes(hashlib.blake2b(w.encode(), digest_size=8).digest(), "big")
-        v[h % DIM] += 1.0 if h >> 63 else -1.0
+        v[h % dim] += 1.0 if h >> 63 else -1.0
     n = sum(x * x for x in v) ** 0.5
     return [x / n for x in v] if n else v
 
 
+def embedder(dim: int = DIM, service: Callable[[list[str], int], list[list[float]]] | None = None):
+    """A function of text columns, batch by batch, to vectors of dim numbers; any other length is an error."""
+
+    @F.pandas_udf(T.ArrayType(T.FloatType()))
+    def run(texts: pd.Series) -> pd.Series:
+        out = service(list(texts), dim) if service else [hashed(t, dim) for t in texts]
+        if any(len(v) != dim for v in out):
+            raise ValueError(f"the service gave vectors of other than {dim} numbers")
+        return pd.Series(out)
+
+    return run
+
+
+embed = embedder()
+
+
+def dual(text: Column) -> Column:
+    """small and large vectors of a text."""
+    return F.struct(embedder(DIM)(text).alias("small"), embedder(LARGE)(text).alias("large"))
+
+
 def read_events(spark: SparkSession, sf_dir: str, per_trigger: int = 1) -> DataFrame:
     path = f"{sf_dir}/events.parquet"
     schema = spark.read.parquet(path).schema
@@ -50,23 +74,33 @@ def daily_crawls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("day", "event_type").agg(F.max_by("n", "epoch").alias("n"))
 
 
-def drain_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pending jobs read as a stream, embedded and completed or failed; each micro-batch overwrites its own folder, so
-    a repeated batch leaves the same rows."""
-    from ..plans.adapters import VIEWS
+def _drain(spark: SparkSession, sf_dir: str, out: str):
+    """A writer of drained jobs: pending ones are embedded, and completed, failed or put back. Each micro-batch overwrites
+    its own folder, so a repeated batch leaves the same rows. The stand-in service embeds every second document only.
+    """
+    from ..plans.adapters import NOW, VIEWS
 
-    out = shared(spark)
-    sql = VIEWS["queue"]
     jobs = read_events(spark, sf_dir)
 
     def write(batch: DataFrame, epoch: int) -> None:
         view = f"events_{uuid.uuid4().hex}"
         batch.createOrReplaceTempView(view)
-        q = batch.sparkSession.sql(sql.replace("FROM events", f"FROM {view}"))
-        done = q.withColumn("vector", F.when(F.col("status") == "pending", embed(F.concat_ws(" ", "message", F.col("document_id").cast("string")))))
-        state = F.when(F.col("status") != "pending", F.col("status")).when(F.col("message") == "bad input", "failed").when(F.size("vector") == DIM, "completed").otherwise("failed")
-        done.select("id", state.alias("status")).write.mode("overwrite").parquet(f"{out}/data/batch={epoch}")
+        q = batch.sparkSession.sql(VIEWS["queue"].replace("FROM events", f"FROM {view}"))
+        text = F.when(F.col("message") != "bad input", F.concat_ws(" ", F.lit("document"), F.col("document_id").cast("string")))
+        q = q.withColumn("vector", F.when((F.col("status") == "pending") & text.isNotNull() & (F.col("document_id") % 2 == 0), embed(text)))
+        done = process(q, F.coalesce(F.size("vector") == DIM, F.lit(False)), F.col("message"), F.expr(NOW))
+        done.select("id", "status", "attempts").write.mode("overwrite").parquet(f"{out}/data/batch={epoch}")
 
-    q = jobs.writeStream.foreachBatch(write).option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start()
-    q.awaitTermination()
-    return spark.read.schema("id long, status string").parquet(f"{out}/data").select("id", "status")
+    return jobs.writeStream.foreachBatch(write).option("checkpointLocation", f"{out}/state")
+
+
+def auto_process(spark: SparkSession, sf_dir: str, seconds: int = 30):
+    """The running query that drains the queue on an interval until it is stopped."""
+    return _drain(spark, sf_dir, shared(spark)).trigger(processingTime=f"{seconds} seconds").start()
+
+
+def drain_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Jobs after one drain of all there are."""
+    out = shared(spark)
+    _drain(spark, sf_dir, out).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema("id long, status string, attempts int").parquet(f"{out}/data").select("id", "status", "attempts")
