@@ -30,7 +30,7 @@ GRID = 256
 _LATIN = re.compile(r"[a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff]+|[0-9\xb2\xb3\xb9\xbc-\xbe]|'(?:s|t|re|ve|m|ll|d)|[^ \t\n\x0b\f\r\xa0a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff0-9\xb2\xb3\xb9\xbc-\xbe]+")
 _OTHER = re.compile(r"[^\t\n\x0b\f\r -~\xa0-\xff]")
 #: Words remembered by an encoder.
-WORDS = 400_000
+WORDS = 300_000
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:

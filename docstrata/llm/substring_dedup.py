@@ -280,6 +280,8 @@ def remove_repeats(docs: DataFrame, window: int = 50, id_col: str = "doc_id", te
             kept.append(b" ".join(left).decode("utf-8", "surrogatepass") if t is not None else None)
         return pd.DataFrame({"n_words": n_words, "n_removed": n_removed, "kept": kept})
 
+    # A filter on its result would else be pushed below, and the words be cut twice, by two workers a task.
+    cut = cut.asNondeterministic()
     doc, key, at, out = (free_name(docs.columns, x) for x in ("doc", "tkey", "spans", "repeats"))
     keyed = docs.withColumn(doc, F.col(id_col).cast("long")).withColumn(key, F.xxhash64(text_col))
     spans = gone.select(F.col("doc").alias(doc), F.col("tkey").alias(key), F.col("spans").alias(at))
