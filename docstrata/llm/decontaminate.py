@@ -21,8 +21,6 @@ PREFIX_ROWS, PREFIX_BYTES = 500_000, 64_000_000
 _SPLIT = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: The characters between words, of either case.
 _BETWEEN = r"\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F"
-#: A word, of either case.
-_WORD = f"[^{_BETWEEN}]+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -72,7 +70,7 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = 13, id_col: s
     # Windows of fewer words than a shingle have one shingle, all their words.
     one = by_window.select("win", "ww").distinct().withColumn("size", F.least(F.size("ww"), F.lit(SHINGLE)))
     sizes = sorted(r[0] for r in one.select("size").distinct().collect())  # at most SHINGLE values
-    n_words = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(_WORD)).cast("long").alias("n_words")
+    n_words = F.size(words(F.col("text"))).cast("long").alias("n_words")
     if not sizes:
         return d.select("doc_id", n_words, F.lit(0).cast("long").alias("n_hit"), F.array().cast("array<string>").alias("items"), F.array().cast("array<int>").alias("hits"))
     cut = reduce(lambda c, n: c.when(F.col("size") == n, F.transform(F.sequence(F.lit(0), F.size("ww") - n), lambda i: F.struct(i.alias("off"), _hash(lambda j: F.get("ww", i + j), n).alias("h")))), sizes, F)
