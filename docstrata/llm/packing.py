@@ -29,8 +29,8 @@ GRID = 256
 #: The pre-tokenizer's words in texts of Latin-1 characters, after lower-casing; other texts go through the tokenizer.
 _LATIN = re.compile(r"[a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff]+|[0-9\xb2\xb3\xb9\xbc-\xbe]|'(?:s|t|re|ve|m|ll|d)|[^ \t\n\x0b\f\r\xa0a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff0-9\xb2\xb3\xb9\xbc-\xbe]+")
 _OTHER = re.compile(r"[^\t\n\x0b\f\r -~\xa0-\xff]")
-#: Words remembered by an encoder.
-WORDS = 300_000
+#: Words remembered by an encoder: the newer half, and the older half that gives way to it.
+WORDS = 220_000
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -50,7 +50,7 @@ class Encoder:
     """ids of a text. Words of Latin-1 texts are encoded once and remembered; the tokenizer encodes other texts whole."""
 
     def __init__(self, path: str) -> None:
-        self.tokenizer, self.cache = _load(path), {}
+        self.tokenizer, self.cache, self.older = _load(path), {}, {}
         self.model, self.letter = self.tokenizer.model, {b: c for c, b in byte_alphabet().items()}
 
     def _learn(self, word: str) -> None:
@@ -65,11 +65,15 @@ class Encoder:
         found = list(map(self.cache.get, words))
         if None in found:
             new = {w for w, f in zip(words, found, strict=True) if f is None}
-            if len(self.cache) + len(new) > WORDS:
-                self.cache.clear()
+            if len(self.cache) + len(new) > WORDS // 2:
+                self.older, self.cache = self.cache, {}
                 new = set(words)
             for w in new:
-                self._learn(w)
+                known = self.older.get(w)
+                if known is None:
+                    self._learn(w)
+                else:
+                    self.cache[w] = known
             found = map(self.cache.__getitem__, words)
         return np.frombuffer(b"".join(found), "<u4")
 
@@ -85,7 +89,6 @@ def _pieces(path: str, max_tokens: int, with_ids: bool):
                     part = tokens[at : at + max_tokens]
                     doc.append(d.as_py()), piece.append(n), start.append(at), length.append(len(part)), crc.append(zlib.crc32(part.tobytes())), ids.append(part.astype(np.int32) if with_ids else None)
             yield pa.record_batch([pa.array(doc, pa.int64()), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64()), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "piece", "start", "length", "ids_crc32", "ids"])
-        encode.cache.clear()
         del encode
         give_back()
 

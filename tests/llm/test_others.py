@@ -55,6 +55,13 @@ def test_encoder_equals_tokenizer():
         assert list(encode(t)) == tokenizer.encode(t, add_special_tokens=False).ids
 
 
+def test_encoder_with_few_remembered_words(monkeypatch):
+    monkeypatch.setattr(packing, "WORDS", 6)
+    encode, tokenizer = packing.Encoder(packing.tokenizer_path()), packing._load(packing.tokenizer_path())
+    for t in ("one two", "two three four", "one five", "six one two", "one two three four five six seven eight", "", "eight one", "nine two one"):
+        assert list(encode(t)) == tokenizer.encode(t, add_special_tokens=False).ids
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.sets(st.text("abc", min_size=1, max_size=4), max_size=8), st.sets(st.text("abc", min_size=1, max_size=4), max_size=8), st.text("abcd", min_size=1, max_size=12))
 def test_piece_counts(first, rest, word):
